@@ -41,6 +41,11 @@ def fingerprint(text: Column) -> Column:
         starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))))
         return F.transform(starts, lambda i: _pack(F.xxhash64(*[F.get(words, i + j) for j in range(K)]), i))
 
+    def copies_before(h: Column, j: Column, own: Column) -> Column:
+        """How many equal hashes stand right before place j of a sorted array: steps of halving length back to the run's start."""
+        back = F.array(*[F.lit(1 << t) for t in range(POSITION_BITS - 1, -1, -1)])
+        return j - F.aggregate(back, j, lambda at, step: F.when(F.get(h, at - step) == own, at - step).otherwise(at))
+
     def numbered(s: Column) -> Column:
         """The n-th element of a run of equal k-mers: a second hash of k-mer and n. Only repeats search for their run's start."""
         return let(
@@ -48,7 +53,7 @@ def fingerprint(text: Column) -> Column:
             lambda h: F.transform(
                 s,
                 lambda x, j: _pack(
-                    F.xxhash64(_hash_of(x), F.when((j > 0) & (F.get(h, j - 1) == _hash_of(x)), j + 1 - F.array_position(h, _hash_of(x)).cast("int")).otherwise(0)),
+                    F.xxhash64(_hash_of(x), F.when(F.get(h, j - 1) == F.get(h, j), copies_before(h, j, F.get(h, j))).otherwise(0)),
                     x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)),
                 ),
             ),
@@ -85,7 +90,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (key, text) -> plus next_text: the text after it in descending key order, the first one's after the last.
+    """docs (key, text) -> plus fingerprint, and next_text and next_fingerprint of the row after it in descending key order, the first one after the last.
 
     One shuffle of the texts: keys are cut into ranges at existing keys (an approximate percentile summary), and the row
     at each cut also travels to the range before it. Ties in key rank by text, null keys come last; a single row follows itself.
@@ -106,21 +111,19 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     targets = F.when(F.col("key") == F.lit(found.top), F.array(F.struct(F.col("r"), F.lit(0).alias("halo")), F.struct(F.lit(len(cuts)).alias("r"), F.lit(2).alias("halo"))))
     targets = targets.when(is_cut, F.array(F.struct(F.col("r"), F.lit(0).alias("halo")), F.struct((F.col("r") - 1).alias("r"), F.lit(1).alias("halo"))))
     targets = targets.otherwise(F.array(F.struct(F.col("r"), F.lit(0).alias("halo"))))
-    spread = placed.select("key", "text", F.explode(targets).alias("t")).select("key", "text", "t.r", "t.halo")
+    marked = placed.withColumn("fingerprint", fingerprint(F.col("text")))
+    spread = marked.select("key", "text", "fingerprint", F.explode(targets).alias("t")).select("key", "text", "fingerprint", "t.r", "t.halo")
     order = W.partitionBy("r").orderBy("halo", F.col("key").desc_nulls_last(), F.col("text").desc())
-    following = F.lead("text").over(order)
-    first = F.first("text").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return spread.withColumn("next_text", F.coalesce(following, first)).filter("halo = 0").select(F.col("key").alias(key), F.col("text").alias(text), "next_text")
+    row = F.struct(F.col("text").alias("text"), F.col("fingerprint").alias("fingerprint"))
+    first = F.first(row).over(order.rowsBetween(W.unboundedPreceding, 0))
+    joined = spread.withColumn("after", F.coalesce(F.lead(row).over(order), first)).filter("halo = 0")
+    return joined.select(F.col("key").alias(key), F.col("text").alias(text), "fingerprint", F.col("after.text").alias("next_text"), F.col("after.fingerprint").alias("next_fingerprint"))
 
 
 def _at_or_above(bounds: Column, key: Column, n: int) -> Column:
     """How many cuts (given negated, ascending) are >= key: a binary search as nested lookups, log2(n) steps a row."""
-    at = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:
-        at = let(at, lambda a, s=step: F.when((a + s <= n) & (F.get(bounds, a + s - 1) <= -key), a + s).otherwise(a))
-        step //= 2
-    return at
+    steps = F.array(*[F.lit(1 << t) for t in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= -key, at + step).otherwise(at))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -133,9 +136,9 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document (doc_id, text), of its edited text, and their likeness to it and to the next document's.
 
     Null text counts as empty, repeated rows are kept, null ids come last in the order, other columns are ignored, and no
-    rows give no rows. The next document's fingerprint is computed with it, so nothing is joined.
+    rows give no rows. Each text is fingerprinted once before the shuffle and its edited form once after.
     """
     rows = with_next(docs.select("doc_id", "text"))
     rows = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited_text")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("__next"))
-    return rows.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("__next"))).drop("__next")
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited_text")).alias("edited_fingerprint"), "next_fingerprint")
+    return rows.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint"))).drop("next_fingerprint")
