@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))), "simhash")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    joined = connected_components(links(nodes.select("fp"), radius).select("a", "b"))
+    joined = connected_components(materialise(links(nodes.select("fp"), radius), "links"))
     named = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialise(named, "components")
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
