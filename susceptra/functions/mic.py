@@ -160,12 +160,15 @@ def sir_of_mic(v: Column, s: Column, r: Column) -> Column:
     return F.when(v <= s, "S").when(v > r, "R").when(v.isNotNull() & s.isNotNull() & r.isNotNull(), "I")
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """PR33: erfc has no Spark function; Arrow batches, one call per row value."""
+def _normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(-x / math.sqrt(2.0)))
 
 
+def normal_cdf(z: Column) -> Column:
+    """PR33: erfc has no Spark function; Arrow batches, one call per row value."""
+    return F.pandas_udf(_normal_cdf, "double")(z)
+
+
 def confidence_level(p: Column) -> Column:
     """PR34: lower edges belong to the level above; a probability outside 0..1 raises."""
     out = F.lit(LEVEL_NAMES[0])
