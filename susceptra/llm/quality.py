@@ -23,10 +23,10 @@ _REPEAT = 0x5851F42D
 
 
 class _Hashes(dict):
-    """32-bit hash of a token; forgets all beyond a million tokens."""
+    """32-bit hash of a token; forgets all beyond 100,000 tokens, to keep a worker's memory small."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = h = xxhash.xxh32_intdigest(token)
         return h
@@ -109,11 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, **options)
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [features(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("quality"), pa.array([i.tolist() for i, _ in made], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in made], pa.list_(pa.float64()))], ["rank", "quality", "index", "value"])
+            yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("quality"), pa.array([i.astype(np.int32) for i, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))], ["rank", "quality", "index", "value"])
 
     # at most `bound` short rows: a proven size
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("rank", "quality", "text")
-    found = texts.mapInArrow(vectors, "rank string, quality int, index array<long>, value array<double>").toArrow()
+    found = texts.mapInArrow(vectors, "rank string, quality int, index array<int>, value array<float>").toArrow()
     order = np.argsort(np.array(found.column("rank").to_pylist(), dtype=object), kind="stable") if len(found) else []
     index, value, label = found.column("index").combine_chunks(), found.column("value").combine_chunks(), found.column("quality").to_pylist()
     rows, seen = [], set()
@@ -127,12 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, **options)
 def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """The given columns of docs (all by default) plus score; whole texts are read, null counts as empty."""
     keep = [c for c in (columns if columns is not None else docs.columns) if c != "score"]
-    source = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    own = text in keep and dict(docs.dtypes)[text] == "string"
+    source = docs.select(*keep) if own else docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [model.score(t.as_py()) for t in b.column("__text")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(scores, pa.float64())], [*keep, "score"])
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                scores = [model.score(t.as_py()) for t in part.column(text if own else "__text")]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(scores, pa.float64())], [*keep, "score"])
 
     return source.mapInArrow(run, docs.select(*keep).schema.add("score", "double"))
 
