@@ -27,7 +27,7 @@ from susceptra.operators.components import connected_components
 from susceptra.storage import materialise
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-ROUTE_BITS, ROUTE_ROWS, SLICE = 6, 1 << 23, 1 << 22
+ROUTE_BITS, ROUTE_ROWS, SLICE = 6, 1 << 23, 1 << 19
 _UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
