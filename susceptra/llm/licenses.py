@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from susceptra.llm.text import ascii_lower, text_of
+from susceptra.storage import bounded_batches
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base labels.
@@ -146,6 +147,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> Da
     Only texts with one of the hinted word stems leave the JVM; all texts are counted whole. Repeated rows and other
     columns are kept; columns named like results are replaced.
     """
+    bounded_batches(docs.sparkSession)
     automata = [compile_template(*t) for t in templates]
     kind = "n_base long, first_word long, last_word long, base_labels string, spans array<struct<start:long,end:long,label:string>>, labels string, score double"
 

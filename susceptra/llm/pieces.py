@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 from sentencepiece import sentencepiece_model_pb2
 
-from susceptra.storage import materialise
+from susceptra.storage import bounded_batches, materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -314,6 +314,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     Null and empty texts have no tokens. Rows equal in key and text give equal rows. The model, whose size is that of a
     vocabulary, travels inside the function. No rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

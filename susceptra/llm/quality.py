@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from susceptra.llm.text import table
+from susceptra.storage import bounded_batches
 
 BITS = 18
 #: Bound of the training sample: the labelled documents with the smallest md5 of their id.
@@ -102,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, **options)
     Executors turn texts into sparse vectors; only those of the bounded sample come to the driver, at most 2 ** BITS
     entries each. Null labels or ids are ignored, contradicting labels of an id count as 0, repeated ids count once.
     """
+    bounded_batches(docs.sparkSession)
     pairs = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = docs.select("doc_id").join(pairs, "doc_id").distinct()
     chosen = known.withColumn("rank", F.md5(F.col("doc_id").cast("string"))).orderBy("rank", "doc_id").limit(bound)
@@ -126,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, **options)
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """The given columns of docs (all by default) plus score; whole texts are read, null counts as empty."""
+    bounded_batches(docs.sparkSession)
     keep = [c for c in (columns if columns is not None else docs.columns) if c != "score"]
     own = text in keep and dict(docs.dtypes)[text] == "string"
     source = docs.select(*keep) if own else docs.select(*keep, F.col(text).cast("string").alias("__text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from susceptra.operators.components import connected_components
-from susceptra.storage import materialise
+from susceptra.storage import bounded_batches, materialise
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 ROUTE_BITS, ROUTE_ROWS, SLICE = 6, 1 << 23, 1 << 19
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             keep = [n for n in b.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(fps)], [*keep, "fp"])
 
+    bounded_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in (text, "fp")]
     schema = docs.select(*columns).schema.add("fp", "long")
     return docs.select(*columns, text).mapInArrow(run, schema)
@@ -171,6 +172,7 @@ def links(fps: DataFrame, radius: int = RADIUS, route_bits: int | None = None) -
         pairs = np.unique(np.stack([a[near], b[near]], 1), axis=0) if len(a) else np.empty((0, 2), np.uint64)
         return pa.table({"a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
 
+    bounded_batches(fps.sparkSession)
     routed = fps.select("fp").mapInArrow(emit, "route int, fp long")
     return routed.groupBy("route").applyInArrow(meet, "a long, b long").distinct()
 
