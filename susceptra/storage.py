@@ -26,6 +26,13 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand at most so many rows at once to Python workers: whole texts are long, and a batch is held in memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and hand it to body: inside a lambda a plain column would be computed for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
