@@ -15,6 +15,7 @@ those stretches; the lattice is only walked between a boundary and the nearest r
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -308,8 +309,8 @@ def _pack(ids: list[int]) -> bytes:
     return np.asarray(ids, "<i4").tobytes()
 
 
-def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(key, text) -> (key, row, n_tokens, ids): ids are little-endian 32-bit numbers; row is a hash of key and text.
+def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, digest: bool = False) -> DataFrame:
+    """(key, text) -> (key, n_tokens, ids): ids are little-endian 32-bit numbers. digest adds decoded_sha256, of the text decoded from the ids.
 
     Null and empty texts have no tokens. Rows equal in key and text give equal rows. The model, whose size is that of a
     vocabulary, travels inside the function. No rows give no rows.
@@ -317,17 +318,23 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
+    names, kind = ["key", "n_tokens", "ids"], source.select("key").schema.add("n_tokens", "long").add("ids", "binary")
+    if digest:
+        names, kind = [*names, "decoded_sha256"], kind.add("decoded_sha256", "string")
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+            for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
                 texts = part.column("text").to_pylist()
                 short = [t for t in texts if len(t) <= chunk]
                 made = iter(v.library.encode(short, num_threads=1) if short else [])
                 ids = [next(made) if len(t) <= chunk else None for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([None if i is None else len(i) for i in ids], pa.int64()), pa.array([None if i is None else _pack(i) for i in ids], pa.binary()), pa.array([t if i is None else None for t, i in zip(texts, ids, strict=True)], pa.string())], ["key", "n_tokens", "ids", "giant"])
+                packed = pa.array([None if i is None else _pack(i) for i in ids], pa.binary())
+                extra = [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_ids(v, packed)])] if digest else []
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([None if i is None else len(i) for i in ids], pa.int64()), packed, *extra], names)
 
-    small = source.filter(F.length("text") <= chunk).mapInArrow(whole, source.select("key").schema.add("n_tokens", "long").add("ids", "binary").add("giant", "string")).select("key", "n_tokens", "ids")
+    small = source.filter(F.length("text") <= chunk).mapInArrow(whole, kind)
     giant = source.filter(F.length("text") > chunk)
     v = vocabulary(model)
     halo = 2 * v.longest
@@ -377,6 +384,8 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     joined = joined.select("key", "row", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias("ids"))
     g, j = giant.select("key", F.xxhash64("text").alias("row")).alias("g"), joined.alias("j")
     large = g.join(j, F.col("g.key").eqNullSafe(F.col("j.key")) & (F.col("g.row") == F.col("j.row"))).select("g.key", (F.length("j.ids") / 4).cast("long").alias("n_tokens"), "j.ids")
+    if digest:
+        large = decode(large, model, ["key", "n_tokens", "ids"]).select("key", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
     return small.unionByName(large).withColumnRenamed("key", key)
 
 
@@ -415,5 +424,5 @@ def encoded_digests(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """
     with open(model_path, "rb") as f:
         model = f.read()
-    rows = decode(encode(docs.select("doc_id", "text"), model), model, ["doc_id", "n_tokens", "ids"])
-    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    rows = encode(docs.select("doc_id", "text"), model, digest=True)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
