@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ CHUNK = 1 << 15
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NONE = -np.inf
+#: Neighbours remembered as fitting or not, and rows of a batch that are Python objects at a time: workers stay small.
+PAIRS, ROWS = 100_000, 16
 #: A state: the piece that covers a boundary or ends there, as (start, end, id), counted from the chunk's first character.
 State = tuple[int, int, int]
 
@@ -88,7 +91,7 @@ class Vocabulary:
         if (known := self._pairs.get(key)) is None:
             a, b = self.names.get(left, ""), self.names.get(right, "")
             known = self.merged(a + b) == [x for x in (a, b) if x] if a and b else self.merged(a or b) == [a or b]
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
@@ -305,6 +308,12 @@ def _window(v: Vocabulary, s: str, a: int, b: int) -> tuple[str, int, int, bool]
     return s[low:high], a - low, b - low, a == 0
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The batch's rows as dictionaries, ROWS of them made at a time."""
+    for i in range(0, batch.num_rows, ROWS):
+        yield from batch.slice(i, ROWS).to_pylist()
+
+
 def _pack(ids: list[int]) -> bytes:
     return np.asarray(ids, "<i4").tobytes()
 
@@ -351,10 +360,10 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
         v = vocabulary(model)
         for b in batches:
             packed = []
-            for r in b.to_pylist():
+            for r in _rows(b):
                 entries = _shift(transfer(v, r["s"], r["a"], r["b"], r["at"] == 0), -r["a"])
                 packed.append(np.array([(*i, *o, w) for i, o, w in entries], np.float64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), b.column("at"), pa.array([r["b"] - r["a"] for r in b.select(["a", "b"]).to_pylist()], pa.int64()), pa.array(packed, pa.binary())], ["key", "row", "at", "length", "matrix"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), b.column("at"), pa.compute.subtract(b.column("b"), b.column("a")).cast(pa.int64()), pa.array(packed, pa.binary())], ["key", "row", "at", "length", "matrix"])
 
     def path(group: pa.Table) -> pa.Table:
         group = group.sort_by("at")
@@ -373,7 +382,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
         v = vocabulary(model)
         for b in batches:
             out = []
-            for r in b.to_pylist():
+            for r in _rows(b):
                 out.append(_pack(backtrace(v, r["s"], r["a"], r["b"], _moved(tuple(r["first"]), r["a"]), _moved(tuple(r["last"]), r["a"]), r["at"] == 0)))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), b.column("at"), pa.array(out, pa.binary())], ["key", "row", "at", "ids"])
 
