@@ -6,8 +6,9 @@ bands are the runs of BAND_ROWS neighbours among the SIGNATURE smallest. Runs of
 edits elsewhere and need no fixed number of shingles, so short and long lines band alike.
 
 In a band every line is compared with the band's smallest line and with the one before it, never with all others. Lines of
-larger bands that match neither are then compared with the NEIGHBOURS before them among such lines: a band with that many of them is compared in full. Candidates are verified by the exact Jaccard similarity of
-their whole sets of shingles. Verified links and equal lines form components by
+larger bands that match neither are then compared with the NEIGHBOURS before them among such lines: a band with that many of them is compared in full. The shingles of the signatures only propose
+candidates. They are verified by the exact Jaccard similarity of the sets of all CHECK code-point shingles of the whole
+lines; pairs whose set sizes or parity bitmaps prove them less similar need no look at the texts. Verified links and equal lines form components by
 distributed union-find; the first line of each component in (doc_id, row key, line number) order stays, all others go.
 """
 
@@ -22,14 +23,21 @@ from susceptra.storage import let, materialise
 
 MIN_CHARS = 40
 SHINGLE, SIGNATURE, BAND_ROWS = 8, 12, 3
-SIMILARITY = 0.8
+CHECK, SIMILARITY = 5, 0.8
+#: Longs of a line's parity bitmap: each shingle flips one bit, so two bitmaps differ in no more bits than the sets in shingles.
+PARITY = 4
 NEIGHBOURS = 16
 #: Up to this many short rows (a key of 8 bytes, at most with a place) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
 
 def shingle_set(line: Column) -> Column:
-    """Distinct hashes of the line's shingles."""
+    """Distinct hashes of all CHECK code-point shingles of the line."""
+    return F.array_distinct(code_point_shingles(line, CHECK))
+
+
+def signature_shingles(line: Column) -> Column:
+    """Distinct hashes of the shingles that signatures are drawn from."""
 
     def shingles(words: Column) -> Column:
         n = F.size(words)
@@ -49,7 +57,7 @@ def bands(line: Column) -> Column:
             made = F.zip_with(made, F.slice(s, i + 1, n), lambda a, b: F.xxhash64(a, b))
         return F.when(n == 0, made).otherwise(F.slice(made, 1, F.greatest(n - (BAND_ROWS - 1), F.lit(1))))
 
-    return let(F.slice(F.sort_array(shingle_set(line)), 1, SIGNATURE), runs)
+    return let(F.slice(F.sort_array(signature_shingles(line)), 1, SIGNATURE), runs)
 
 
 def code_point_shingles(line: Column, size: int) -> Column:
@@ -90,18 +98,32 @@ def _partners(banded: DataFrame) -> DataFrame:
     return out.filter("n > 1")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line_id, shingles) of the wanted lines, whose texts are read again: each set is built once, however many pairs ask for it."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line_id, line, n, parity) of the wanted lines, read from the texts again: n and parity are of the shingle set."""
     lines = lines_of(docs).select(F.xxhash64("line").alias("line_id"), "line")
     found = _join_keys(lines, materialise(wanted, "wanted"), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-    return materialise(found.select("line_id", shingle_set(F.col("line")).alias("shingles")), "shingles")
+
+    def parity(s: Column, k: int) -> Column:
+        mine = F.filter(s, lambda x: F.pmod(x, F.lit(PARITY)) == k)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))))
+
+    seen = let(shingle_set(F.col("line")), lambda s: F.struct(F.size(s).alias("n"), F.array(*[parity(s, k) for k in range(PARITY)]).alias("parity")))
+    return materialise(found.select("line_id", "line", seen.alias("seen")).select("line_id", "line", "seen.n", "seen.parity"), "line-texts")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose Jaccard similarity is SIMILARITY or more; lines without a shingle are like no other."""
-    one, two = (sets.select(F.col("line_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    sized = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return materialise(sized.filter((F.col("both") > 0) & (F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= SIMILARITY)).select("a", "b"), "verified")
+    light = pairs
+    for k in "ab":
+        light = light.join(texts.select(F.col("line_id").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")), k)
+    # of na + nb shingles, those in one set only are (1 - SIMILARITY) / (1 + SIMILARITY) at most
+    differ = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY)), F.lit(0))
+    most = (F.col("na") + F.col("nb")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    light = light.filter((F.least("na", "nb") > 0) & (F.abs(F.col("na") - F.col("nb")) <= most) & (differ <= most))
+    near = materialise(light.select("a", "b", "na", "nb"), "candidates")
+    one, two = (texts.select(F.col("line_id").alias(k), F.col("line").alias(f"l{k}")) for k in "ab")
+    sized = near.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect(shingle_set(F.col("la")), shingle_set(F.col("lb")))))
+    return materialise(sized.filter(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= SIMILARITY).select("a", "b"), "verified")
 
 
 def line_links(docs: DataFrame, banded: DataFrame) -> DataFrame:
@@ -109,15 +131,15 @@ def line_links(docs: DataFrame, banded: DataFrame) -> DataFrame:
     found = materialise(_partners(_shared(banded)), "bands")
     ask = found.filter("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b"))
     ask = ask.unionByName(found.filter("before <> first").select(F.col("before").alias("a"), F.col("line_id").alias("b"))).distinct()
-    sets = _sets(docs, found.select("line_id").distinct())
-    links = _verified(ask, sets)
+    texts = _texts(docs, found.select("line_id").distinct())
+    links = _verified(ask, texts)
     # lines of bands of three or more that match neither partner meet their neighbours among those that did not either
     left = found.filter("n > 2 and line_id <> first").select("band", "line_id", "first", "before")
     for name in ("first", "before"):
         left = left.join(links.select(F.col("a").alias(name), F.col("b").alias("line_id")), [name, "line_id"], "left_anti")
     near = W.partitionBy("band").orderBy("line_id").rowsBetween(-NEIGHBOURS, -1)
     more = left.withColumn("near", F.collect_list("line_id").over(near)).select(F.explode("near").alias("a"), F.col("line_id").alias("b")).distinct()
-    return links.unionByName(_verified(more, sets))
+    return links.unionByName(_verified(more, texts))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
