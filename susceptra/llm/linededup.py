@@ -5,8 +5,10 @@ hashes of its character shingles: the SHINGLE code points from each word's start
 bands are the runs of BAND_ROWS neighbours among the SIGNATURE smallest. Runs of neighbours in a common order survive
 edits elsewhere and need no fixed number of shingles, so short and long lines band alike.
 
-In a band every line is compared with the band's smallest line and with the one before it, never with all others. Lines of
-larger bands that match neither are then compared with the NEIGHBOURS before them among such lines: a band with that many of them is compared in full. The shingles of the signatures only propose
+In a band every line is compared with the band's smallest line and with the one before it. What these links join is one
+component already; bands that still hold several are open, and their lines are compared across components until none is
+left: all pairs in bands of SMALL lines or fewer, and in larger ones all pairs that share one of their rarest shingles,
+which similar lines must (prefix filter). The shingles of the signatures only propose
 candidates. They are verified by the exact Jaccard similarity of the sets of all CHECK code-point shingles of the whole
 lines; pairs whose set sizes or parity bitmaps prove them less similar need no look at the texts. Verified links and equal lines form components by
 distributed union-find; the first line of each component in (doc_id, row key, line number) order stays, all others go.
@@ -26,7 +28,8 @@ SHINGLE, SIGNATURE, BAND_ROWS = 8, 12, 3
 CHECK, SIMILARITY = 5, 0.8
 #: Longs of a line's parity bitmap: each shingle flips one bit, so two bitmaps differ in no more bits than the sets in shingles.
 PARITY = 4
-NEIGHBOURS = 16
+#: Open bands of up to this many lines are compared pair by pair.
+SMALL = 32
 #: Up to this many short rows (a key of 8 bytes, at most with a place) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -133,13 +136,50 @@ def line_links(docs: DataFrame, banded: DataFrame) -> DataFrame:
     ask = ask.unionByName(found.filter("before <> first").select(F.col("before").alias("a"), F.col("line_id").alias("b"))).distinct()
     texts = _texts(docs, found.select("line_id").distinct())
     links = _verified(ask, texts)
-    # lines of bands of three or more that match neither partner meet their neighbours among those that did not either
-    left = found.filter("n > 2 and line_id <> first").select("band", "line_id", "first", "before")
-    for name in ("first", "before"):
-        left = left.join(links.select(F.col("a").alias(name), F.col("b").alias("line_id")), [name, "line_id"], "left_anti")
-    near = W.partitionBy("band").orderBy("line_id").rowsBetween(-NEIGHBOURS, -1)
-    more = left.withColumn("near", F.collect_list("line_id").over(near)).select(F.explode("near").alias("a"), F.col("line_id").alias("b")).distinct()
-    return links.unionByName(_verified(more, texts))
+    return links.unionByName(_verified(_open_pairs(found, links, texts), texts))
+
+
+def _open_pairs(found: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of lines of different components of links that share a band; those of large bands only if they can be similar.
+
+    Bands of three lines or fewer were compared in full, and a band of one component has nothing to add.
+    """
+    joined = materialise(connected_components(links).withColumnRenamed("node", "line_id"), "first-components")
+    placed = _join_keys(found.filter("n > 3").select("band", "line_id", "n"), joined, "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+    placed = materialise(placed, "placed")
+    still = materialise(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band"), "open-bands")
+    placed = materialise(_join_keys(placed, still, "band", "left_semi"), "open")
+    few = _across(placed.filter(F.col("n") <= SMALL).select("band", "line_id", "component"), "band")
+    rare = _rare_shingles(placed.filter(F.col("n") > SMALL).select("line_id", "component").distinct(), texts)
+    return few.unionByName(_across(rare, "shingle", _alike)).distinct()
+
+
+def _across(rows: DataFrame, key: str, also=None) -> DataFrame:
+    """Distinct (a, b) of the line ids that share a key and are of different components."""
+    one, two = (rows.select(key, *[F.col(c).alias(f"{c}_{k}") for c in rows.columns if c != key]) for k in "ab")
+    pairs = one.join(two, key).filter("line_id_a < line_id_b and component_a <> component_b")
+    return (pairs.filter(also()) if also else pairs).select(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b")).distinct()
+
+
+def _alike() -> Column:
+    """Whether two lines that first meet at these places of their ordered shingles can be similar: both sets must be large enough from there on."""
+    most = F.lit(1) + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return most >= (F.col("n_a") + F.col("n_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+
+
+def _rare_shingles(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(line_id, component) -> (shingle, line_id, component, n, place): of each line the rarest shingles, counted among these lines.
+
+    With shingles in one order, lines of similarity s share one of the first n - ceil(s * n) + 1 of each. The rarest come
+    first, so what all lines of a band share comes last. Shingles of one component only join nothing new.
+    """
+    all_of = texts.join(lines, "line_id").select("line_id", "component", "n", F.explode(shingle_set(F.col("line"))).alias("shingle"))
+    all_of = materialise(all_of, "open-shingles")
+    counts = all_of.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    order = W.partitionBy("line_id").orderBy("often", "shingle")
+    ranked = all_of.join(counts, "shingle").withColumn("place", F.row_number().over(order))
+    first = ranked.filter((F.col("place") <= F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6) + 1) & (F.col("low") < F.col("high")))
+    return materialise(first.select("shingle", "line_id", "component", "n", "place"), "rare-shingles")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Line dedup against brute force over all code-point shingles of whole lines."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from susceptra.llm import linededup
@@ -9,15 +11,18 @@ from susceptra.operators.components import connected_components
 def similar(lines):
     """Pairs of places in lines whose Jaccard similarity over all 5-code-point shingles is 0.8 or more."""
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    everywhere = set.intersection(*sets)
+    least = min(map(len, sets))
+    assert len(everywhere) * 5 < 4 * (2 * least - len(everywhere)), "what all lines share must not make them similar"
     where, pairs = {}, set()
     for k, s in enumerate(sets):
-        for x in s:
+        for x in s - everywhere:
             where.setdefault(x, []).append(k)
     for k, s in enumerate(sets):
         counts = {}
-        for x in s:
+        for x in s - everywhere:
             for j in where[x]:
-                counts[j] = counts.get(j, 0) + 1
+                counts[j] = counts.get(j, len(everywhere)) + 1
         pairs |= {(j, k) for j, n in counts.items() if j < k and n * 5 >= 4 * (len(s) + len(sets[j]) - n)}
     return pairs
 
@@ -33,6 +38,13 @@ def linked(spark, lines):
     return {(min(place[r.a], place[r.b]), max(place[r.a], place[r.b])) for r in links.collect()}, [root.get(k, place_id) for k, place_id in enumerate(ids[x] for x in lines)]
 
 
+def sharing(spark, lines):
+    """Pairs (2 k, 2 k + 1) of places that share a band."""
+    df = spark.createDataFrame(list(enumerate(lines)), "place long, line string")
+    bands = {r.place: set(r.bands) for r in df.select("place", linededup.bands(F.col("line")).alias("bands")).collect()}
+    return {(k, k + 1) for k in range(0, len(lines), 2) if bands[k] & bands[k + 1]}
+
+
 def test_word_tails_are_compared(spark):
     texts = ["telephone identification 1234567890123456", "telephone identification 9999888877776666"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -46,3 +58,22 @@ def test_links_are_those_of_whole_lines(spark):
     links, root = linked(spark, lines)
     assert links <= true
     assert len(true) > 50 and sum(root[a] == root[b] for a, b in true) >= 0.98 * len(true)
+
+
+def test_large_band_is_compared_in_full(spark):
+    """Thousands of different lines with one opening, and among them similar ones that share bands of the opening only."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    opening = " ".join(word(4) for _ in range(40))
+    lines = []
+    for _ in range(1500):
+        rest = [word(60) for _ in range(4)]
+        lines.append(" ".join([opening, *(f"0{x}" for x in rest)]))
+        lines.append(" ".join([opening, *(f"1{x}" for x in rest)]))
+    true = similar(lines)
+    links, root = linked(spark, lines)
+    assert links <= true and len(true) == 1500
+    # a pair that shares no band is never a candidate; most share one
+    shared = sharing(spark, lines)
+    assert len(true & shared) > 1200
+    assert all(root[a] == root[b] for a, b in true & shared)
