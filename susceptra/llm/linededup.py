@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-Lines of MIN_CHARS code points or more are identified; shorter ones are left alone. A line's signature is the sorted
-hashes of its character shingles: the SHINGLE code points from each word's start, over two words at most (all shingles where spaces are rare); its
+Lines of MIN_CHARS code points or more are identified; those that make fewer than two shingles are left alone. Equal lines
+need no band. A line's signature is the sorted
+hashes of its character shingles: the SHINGLE code points from each word's start, over two words at most (all shingles where spaces are rare or the line is shorter than SHORT); its
 bands are the runs of BAND_ROWS neighbours among the SIGNATURE smallest. Runs of neighbours in a common order survive
 edits elsewhere and need no fixed number of shingles, so short and long lines band alike.
 
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from susceptra.operators.components import connected_components
 from susceptra.storage import let, materialise
 
-MIN_CHARS = 40
-SHINGLE, SIGNATURE, BAND_ROWS = 8, 12, 3
+SHORT, SHINGLE, SIGNATURE, BAND_ROWS = 40, 8, 12, 3
 CHECK, SIMILARITY = 5, 0.8
+MIN_CHARS = CHECK + 1
 #: Longs of a line's parity bitmap: each shingle flips one bit, so two bitmaps differ in no more bits than the sets in shingles.
 PARITY = 4
 #: Open bands of up to this many lines are compared pair by pair.
@@ -45,7 +46,7 @@ def signature_shingles(line: Column) -> Column:
     def shingles(words: Column) -> Column:
         n = F.size(words)
         at_words = F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n), lambda a, b: F.xxhash64(F.substring(F.concat(a, F.lit(" "), b), 1, SHINGLE)))
-        return F.when(n * 24 < F.length(line), code_point_shingles(line, SHINGLE)).otherwise(at_words)
+        return F.when((n * 24 < F.length(line)) | (F.length(line) < SHORT), code_point_shingles(line, SHINGLE)).otherwise(at_words)
 
     return F.array_distinct(let(F.split(line, " ", -1), shingles))
 

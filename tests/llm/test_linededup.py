@@ -77,3 +77,9 @@ def test_large_band_is_compared_in_full(spark):
     shared = sharing(spark, lines)
     assert len(true & shared) > 1200
     assert all(root[a] == root[b] for a, b in true & shared)
+
+
+def test_short_lines_go_once(spark):
+    texts = ["All rights reserved.\nReleased under the MIT License.", "All rights reserved.", "x\nReleased under the MIT License.\n\n}", "x\n\n}", "return 1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in linededup.dedup_lines(df).orderBy("doc_id").collect()] == [texts[0], "", "x\n\n}", "x\n\n}", "return 1"]
