@@ -177,6 +177,16 @@ def links(fps: DataFrame, radius: int = RADIUS, route_bits: int | None = None) -
     return routed.groupBy("route").applyInArrow(meet, "a long, b long").distinct()
 
 
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """marked (doc_id, fp), materialised -> (fp, component, component_id): a row per fingerprint; component is a fingerprint of its own."""
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
+    joined = connected_components(materialise(links(nodes.select("fp"), radius), "links"))
+    named = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = materialise(named, "components")
+    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return named.join(lowest, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) per row of docs: components of the links between fingerprints.
 
@@ -184,21 +194,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     unless all ids in it are null. Repeated rows are kept. Other columns are ignored. No rows give no rows.
     """
     marked = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))), "simhash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    joined = connected_components(materialise(links(nodes.select("fp"), radius), "links"))
-    named = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = materialise(named, "components")
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(lowest, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(_components(marked, radius).drop("component"), "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, once; all columns are kept.
 
-    A component of null ids only keeps one row.
+    Rows of one doc_id are told apart by their texts, so only rows of the same component remove each other; of rows equal
+    in both any one stays. A component of null ids only keeps one row.
     """
-    found = near_duplicates(docs, radius=radius)
-    drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["doc_id"]), "left_anti")
-    return kept
+    key = "__key"
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), F.col("text").cast("string")))
+    marked = materialise(fingerprints(keyed.select("doc_id", key, F.col("text").cast("string").alias("text"))), "simhash")
+    classes = _components(marked, radius).select("fp", "component")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", key)
+    heads = marked.join(classes, "fp").groupBy("component").agg(F.min(place).alias("head"))
+    rows = marked.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    heads = materialise(heads.select(F.col(f"head.{key}").alias(key)).join(rows, key), "kept")
+    # only rows that stand more than once are grouped, so texts are not shuffled for the others
+    once = keyed.join(heads.filter("n = 1"), key, "left_semi")
+    more = keyed.join(heads.filter("n > 1"), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(more).select(*docs.columns)
