@@ -273,11 +273,18 @@ def n50(spark, d):
 
 @query("WITH u AS (SELECT doc_id, translate(text, 'acgtn', 'ACGTN') AS t FROM documents), c AS (SELECT doc_id, length(t) - length(replace(t, 'G', '')) + length(t) - length(replace(t, 'C', '')) AS gc, length(t) * 4 - length(replace(t, 'G', '')) - length(replace(t, 'C', '')) - length(replace(t, 'A', '')) - length(replace(t, 'T', '')) AS n, substr(t, 1, 10) AS head FROM u) SELECT doc_id, CASE WHEN n > 0 THEN 100::DOUBLE * gc / n ELSE 0 END AS gc_percent, reverse(translate(head, 'ACGTN', 'TGCAN')) AS rc FROM c")
 def gc_like_ratio(spark, d):
-    """PR39, PR40."""
+    """PR39, and PR40 of ten characters; reverse_complement_whole has whole texts."""
     u = F.translate("text", "acgtn", "ACGTN")
     return table(spark, d, "documents").select("doc_id", sequence.gc_percent(u).alias("gc_percent"), sequence.reverse_complement(F.substring(u, 1, 10)).alias("rc"))
 
 
+@query()
+def reverse_complement_whole(spark, d):
+    """PR40 of whole texts: length and digest of the result. SQL engines differ on what reverse does to combined characters."""
+    rc = sequence.reverse_complement(F.translate("text", "acgtn", "ACGTN"))
+    return table(spark, d, "documents").select("doc_id", F.length(rc).cast("long").alias("rc_chars"), F.sha2(rc, 256).alias("rc_sha256"))
+
+
 @query("SELECT p_partkey, substr(p_name || p_name, p_partkey % length(p_name) + 1, CAST(floor(length(p_name) / 2) AS BIGINT)) AS piece FROM part")
 def circular_pieces(spark, d):
     """PR41."""

@@ -38,3 +38,13 @@ def test_sketch_containment_all(spark, sf_dir):
     rows = catalogue.queries()["sketch_containment_all"](spark, sf_dir).collect()
     assert {(r.query_id, r.doc_id, round(r.containment, 9), r.rank) for r in rows} == want and len(rows) == len(want)
     assert len({r.query_id for r in rows}) > 20
+
+
+def test_reverse_complement_whole(spark, sf_dir):
+    to = str.maketrans("acgtnACGTN", "TGCANTGCAN")
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        rc = None if r.text is None else r.text.translate(to)[::-1]
+        want[r.doc_id] = (None, None) if rc is None else (len(rc), hashlib.sha256(rc.encode()).hexdigest())
+    rows = catalogue.queries()["reverse_complement_whole"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.rc_chars, r.rc_sha256) for r in rows} == want and len(rows) == len(want)
