@@ -489,7 +489,7 @@ def lineage_ids(spark, d):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
 def recent_jobs(spark, d):
-    """SO3, JN18."""
+    """SO3."""
     return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(100)
 
 
