@@ -1,18 +1,19 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines of MIN_CHARS code points or more are identified; those that make fewer than two shingles are left alone. Equal lines
-need no band. A line's signature is the sorted
-hashes of its character shingles: the SHINGLE code points from each word's start, over two words at most (all shingles where spaces are rare or the line is shorter than SHORT); its
-bands are the runs of BAND_ROWS neighbours among the SIGNATURE smallest. Runs of neighbours in a common order survive
-edits elsewhere and need no fixed number of shingles, so short and long lines band alike.
+need no band. A line's signature is the SIGNATURE smallest hashes of its character shingles, in order; its bands are the
+runs of BAND_ROWS neighbours in it. Runs of neighbours in a common order survive edits elsewhere and need no fixed number of
+shingles, so short and long lines band alike. Shingles of the signature are the SHINGLE code points from every place in
+lines under SHORT (and where spaces are rare), and in longer lines the characters from each word's start to the end of the
+word after it. Lines near that border have bands of both kinds, so that similar lines on its two sides meet.
 
 In a band every line is compared with the band's smallest line and with the one before it. What these links join is one
 component already; bands that still hold several are open, and their lines are compared across components until none is
 left: all pairs in bands of SMALL lines or fewer, and in larger ones all pairs that share one of their rarest shingles,
-which similar lines must (prefix filter). The shingles of the signatures only propose
-candidates. They are verified by the exact Jaccard similarity of the sets of all CHECK code-point shingles of the whole
-lines; pairs whose set sizes or parity bitmaps prove them less similar need no look at the texts. Verified links and equal lines form components by
-distributed union-find; the first line of each component in (doc_id, row key, line number) order stays, all others go.
+which similar lines must (prefix filter). The shingles of the signatures only propose candidates. They are verified by the
+exact Jaccard similarity of the sets of all CHECK code-point shingles of the whole lines; pairs of open bands whose set
+sizes or parity bitmaps prove them less similar need no look at the texts. Verified links and equal lines form components
+by distributed union-find; the first line of each component in (doc_id, row key, line number) order stays, all others go.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ from pyspark.sql import functions as F
 from susceptra.operators.components import connected_components
 from susceptra.storage import let, materialise
 
-SHORT, SHINGLE, SIGNATURE, BAND_ROWS = 40, 8, 12, 3
+SHORT, SHINGLE, SIGNATURE, BAND_ROWS = 120, 8, 12, 3
+#: Code points a word in texts that have spaces; beyond, every place counts.
+LONG_WORDS = 24
+#: Lines up to so far beyond a border have bands of both kinds: similar lines differ less in length.
+BORDER = 1.25
 CHECK, SIMILARITY = 5, 0.8
 MIN_CHARS = CHECK + 1
 #: Longs of a line's parity bitmap: each shingle flips one bit, so two bitmaps differ in no more bits than the sets in shingles.
-PARITY = 4
+PARITY = 16
 #: Open bands of up to this many lines are compared pair by pair.
 SMALL = 32
 #: Up to this many short rows (a key of 8 bytes, at most with a place) are broadcast; beyond, they are joined by a shuffle.
@@ -40,35 +45,38 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(code_point_shingles(line, CHECK))
 
 
-def signature_shingles(line: Column) -> Column:
-    """Distinct hashes of the shingles that signatures are drawn from."""
+def _signature(hashes: Column) -> Column:
+    """The smallest distinct hashes in order. A shingle that stands often fills one place; what few of them leave is enough."""
+    return F.slice(F.array_distinct(F.slice(F.sort_array(hashes), 1, 4 * SIGNATURE)), 1, SIGNATURE)
 
-    def shingles(words: Column) -> Column:
-        n = F.size(words)
-        at_words = F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n), lambda a, b: F.xxhash64(F.substring(F.concat(a, F.lit(" "), b), 1, SHINGLE)))
-        return F.when((n * 24 < F.length(line)) | (F.length(line) < SHORT), code_point_shingles(line, SHINGLE)).otherwise(at_words)
 
-    return F.array_distinct(let(F.split(line, " ", -1), shingles))
+def _runs(s: Column) -> Column:
+    """Hashes of BAND_ROWS neighbours of a signature; a shorter one is one band, an empty one or null none."""
+    made = F.array(*[F.xxhash64(*[F.get(s, F.lit(i + j)) for j in range(BAND_ROWS)]) for i in range(SIGNATURE - BAND_ROWS + 1)])
+    n = F.size(s)
+    return F.when(n > 0, F.slice(made, 1, F.greatest(n - (BAND_ROWS - 1), F.lit(1)))).otherwise(F.array().cast("array<long>"))
 
 
-def bands(line: Column) -> Column:
-    """Band keys of a line, as an array of longs; empty for a line without a shingle."""
+def with_bands(lines: DataFrame) -> DataFrame:
+    """lines (line, ...) -> plus bands, an array of longs: empty for a line without a shingle.
 
-    def runs(s: Column) -> Column:
-        """Hashes of BAND_ROWS neighbours; a shorter signature is one band."""
-        made, n = s, F.size(s)
-        for i in range(1, BAND_ROWS):
-            made = F.zip_with(made, F.slice(s, i + 1, n), lambda a, b: F.xxhash64(a, b))
-        return F.when(n == 0, made).otherwise(F.slice(made, 1, F.greatest(n - (BAND_ROWS - 1), F.lit(1))))
-
-    return let(F.slice(F.sort_array(signature_shingles(line)), 1, SIGNATURE), runs)
+    One column a step: what stands outside of a lambda is compiled, and no step is computed twice.
+    """
+    line, length = F.col("line"), F.length("line")
+    pairs = let(F.split(line, " ", -1), lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b)))
+    out = lines.withColumn("__words", F.when(length >= SHORT, pairs))
+    n = F.size("__words")
+    near = (length < SHORT * BORDER) | (n * LONG_WORDS < length * BORDER)
+    out = out.withColumn("__places", F.when(near, code_point_shingles(line, SHINGLE)))
+    out = out.withColumn("__words", F.when(n * LONG_WORDS >= length, _signature(F.col("__words")))).withColumn("__places", _signature(F.col("__places")))
+    return out.withColumn("bands", F.concat(_runs(F.col("__places")), _runs(F.col("__words")))).drop("__words", "__places")
 
 
 def code_point_shingles(line: Column, size: int) -> Column:
     """Hashes of all runs of size code points. In UTF-32 a run is found by its place alone, so long lines cost no more per shingle."""
     n = F.length(line)
-    starts = F.when(n < size, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - size))
-    return let(F.encode(line, "UTF-32"), lambda wide: F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * size)))))
+    starts = F.when(n < size, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), (n - size) * 4 + 1, F.lit(4)))
+    return let(F.encode(line, "UTF-32"), lambda wide: F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i, F.lit(4 * size)))))
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -103,31 +111,20 @@ def _partners(banded: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line_id, line, n, parity) of the wanted lines, read from the texts again: n and parity are of the shingle set."""
+    """(line_id, line) of the wanted lines, read from the texts again."""
     lines = lines_of(docs).select(F.xxhash64("line").alias("line_id"), "line")
-    found = _join_keys(lines, materialise(wanted, "wanted"), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-
-    def parity(s: Column, k: int) -> Column:
-        mine = F.filter(s, lambda x: F.pmod(x, F.lit(PARITY)) == k)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))))
-
-    seen = let(shingle_set(F.col("line")), lambda s: F.struct(F.size(s).alias("n"), F.array(*[parity(s, k) for k in range(PARITY)]).alias("parity")))
-    return materialise(found.select("line_id", "line", seen.alias("seen")).select("line_id", "line", "seen.n", "seen.parity"), "line-texts")
+    found = _join_keys(lines, materialise(wanted, "wanted"), "line_id", "left_semi")
+    return materialise(found.groupBy("line_id").agg(F.first("line").alias("line")), "line-texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose Jaccard similarity is SIMILARITY or more; lines without a shingle are like no other."""
-    light = pairs
     for k in "ab":
-        light = light.join(texts.select(F.col("line_id").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")), k)
-    # of na + nb shingles, those in one set only are (1 - SIMILARITY) / (1 + SIMILARITY) at most
-    differ = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY)), F.lit(0))
-    most = (F.col("na") + F.col("nb")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
-    light = light.filter((F.least("na", "nb") > 0) & (F.abs(F.col("na") - F.col("nb")) <= most) & (differ <= most))
-    near = materialise(light.select("a", "b", "na", "nb"), "candidates")
-    one, two = (texts.select(F.col("line_id").alias(k), F.col("line").alias(f"l{k}")) for k in "ab")
-    sized = near.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect(shingle_set(F.col("la")), shingle_set(F.col("lb")))))
-    return materialise(sized.filter(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= SIMILARITY).select("a", "b"), "verified")
+        pairs = pairs.join(texts.select(F.col("line_id").alias(k), F.col("line").alias(f"line_{k}")), k)
+    sets = pairs.select("a", "b", *[code_point_shingles(F.col(f"line_{k}"), CHECK).alias(f"s{k}") for k in "ab"])
+    sized = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), *[F.size(F.array_distinct(f"s{k}")).alias(f"n{k}") for k in "ab"])
+    near = F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= SIMILARITY
+    return materialise(sized.filter((F.col("both") > 0) & near).select("a", "b"), "verified")
 
 
 def line_links(docs: DataFrame, banded: DataFrame) -> DataFrame:
@@ -141,25 +138,47 @@ def line_links(docs: DataFrame, banded: DataFrame) -> DataFrame:
 
 
 def _open_pairs(found: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of lines of different components of links that share a band; those of large bands only if they can be similar.
+    """(a, b): pairs of lines of different components of links that share a band, if their shingles leave it possible that they are similar.
 
     Bands of three lines or fewer were compared in full, and a band of one component has nothing to add.
     """
     joined = materialise(connected_components(links).withColumnRenamed("node", "line_id"), "first-components")
-    placed = _join_keys(found.filter("n > 3").select("band", "line_id", "n"), joined, "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    placed = materialise(placed, "placed")
-    still = materialise(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band"), "open-bands")
-    placed = materialise(_join_keys(placed, still, "band", "left_semi"), "open")
-    few = _across(placed.filter(F.col("n") <= SMALL).select("band", "line_id", "component"), "band")
-    rare = _rare_shingles(placed.filter(F.col("n") > SMALL).select("line_id", "component").distinct(), texts)
-    return few.unionByName(_across(rare, "shingle", _alike)).distinct()
+    placed = _join_keys(found.filter("n > 3").select("band", "line_id", "n"), joined, "line_id", "left")
+    placed = materialise(placed.withColumn("component", F.coalesce("component", "line_id")), "placed")
+    still = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    placed = materialise(_join_keys(placed, materialise(still, "open-bands"), "band", "left_semi"), "open")
+    lines = texts.join(placed.select("line_id").distinct(), "line_id")
+    outlines = materialise(_outlines(lines.select("line_id", F.explode(shingle_set(F.col("line"))).alias("shingle"))), "open-outlines")
+    few = placed.filter(F.col("n") <= SMALL).select("band", "line_id", "component").join(outlines.select("line_id", "n"), "line_id")
+    few = _across(few, "band", F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SIMILARITY - 1e-6)
+    crowded = placed.filter(F.col("n") > SMALL).select("line_id", "component").distinct()
+    shingles = texts.join(crowded, "line_id").select("line_id", "component", F.explode(shingle_set(F.col("line"))).alias("shingle"))
+    many = _across(_rare_shingles(materialise(shingles, "open-shingles"), outlines.select("line_id", "n")), "shingle", _alike())
+    return materialise(_possible(few.unionByName(many).distinct(), outlines), "candidates")
+
+
+def _outlines(shingles: DataFrame) -> DataFrame:
+    """(line_id, shingle) -> (line_id, n, p0, p1, ...): the set's size and its parity bitmap."""
+    slot = F.pmod("shingle", F.lit(PARITY))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("shingle", 58).cast("int"))
+    parity = [F.coalesce(F.bit_xor(F.when(slot == k, bit)), F.lit(0)).alias(f"p{k}") for k in range(PARITY)]
+    return shingles.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), *parity)
+
+
+def _possible(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The pairs that sizes and parity bitmaps do not rule out: of na + nb shingles, those in one set only are (1 - s) / (1 + s) at most."""
+    for k in "ab":
+        pairs = pairs.join(outlines.select(*[F.col(c).alias(k if c == "line_id" else f"{c}_{k}") for c in outlines.columns]), k)
+    differ = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(PARITY)), F.lit(0))
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    return pairs.filter((F.abs(F.col("n_a") - F.col("n_b")) <= most) & (differ <= most)).select("a", "b")
 
 
-def _across(rows: DataFrame, key: str, also=None) -> DataFrame:
+def _across(rows: DataFrame, key: str, also: Column | None = None) -> DataFrame:
     """Distinct (a, b) of the line ids that share a key and are of different components."""
     one, two = (rows.select(key, *[F.col(c).alias(f"{c}_{k}") for c in rows.columns if c != key]) for k in "ab")
     pairs = one.join(two, key).filter("line_id_a < line_id_b and component_a <> component_b")
-    return (pairs.filter(also()) if also else pairs).select(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b")).distinct()
+    return (pairs if also is None else pairs.filter(also)).select(F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b")).distinct()
 
 
 def _alike() -> Column:
@@ -168,25 +187,28 @@ def _alike() -> Column:
     return most >= (F.col("n_a") + F.col("n_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
 
 
-def _rare_shingles(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """(line_id, component) -> (shingle, line_id, component, n, place): of each line the rarest shingles, counted among these lines.
+def _rare_shingles(shingles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(line_id, component, shingle) and (line_id, n) -> (shingle, line_id, component, n, place): of each line the rarest shingles.
 
-    With shingles in one order, lines of similarity s share one of the first n - ceil(s * n) + 1 of each. The rarest come
-    first, so what all lines of a band share comes last. Shingles of one component only join nothing new.
+    With all shingles in one order, lines of similarity s share one of the first n - ceil(s * n) + 1 of each. Those of one
+    component only come first: they join nothing new and are only counted, and a line that has enough of them is done.
+    The others follow, rarest first, so what all lines of a band share comes last.
     """
-    all_of = texts.join(lines, "line_id").select("line_id", "component", "n", F.explode(shingle_set(F.col("line"))).alias("shingle"))
-    all_of = materialise(all_of, "open-shingles")
-    counts = all_of.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counts = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counts = materialise(counts.filter("low < high").select("shingle", "often"), "shared-shingles")
+    shared = _join_keys(shingles, counts, "shingle", "inner")
+    first = F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6) + 1
+    own = shared.groupBy("line_id").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "line_id").withColumn("own", F.col("n") - F.col("shared"))
+    own = materialise(own.filter(F.col("own") < first).select("line_id", "n", "own"), "open-lines")
     order = W.partitionBy("line_id").orderBy("often", "shingle")
-    ranked = all_of.join(counts, "shingle").withColumn("place", F.row_number().over(order))
-    first = ranked.filter((F.col("place") <= F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6) + 1) & (F.col("low") < F.col("high")))
-    return materialise(first.select("shingle", "line_id", "component", "n", "place"), "rare-shingles")
+    ranked = _join_keys(shared, own, "line_id", "inner").withColumn("place", F.col("own") + F.row_number().over(order))
+    return materialise(ranked.filter(F.col("place") <= first).select("shingle", "line_id", "component", "n", "place"), "rare-shingles")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, row, line_no) of every line that goes: all but the first of each component."""
-    lines = lines_of(docs).withColumn("line_id", F.xxhash64("line"))
-    places = materialise(lines.select("doc_id", "row", "line_no", "line_id", bands(F.col("line")).alias("bands")), "lines")
+    lines = with_bands(lines_of(docs).withColumn("line_id", F.xxhash64("line")))
+    places = materialise(lines.select("doc_id", "row", "line_no", "line_id", "bands"), "lines")
     banded = places.select("line_id", F.explode("bands").alias("band"))
     joined = materialise(connected_components(line_links(docs, banded)).withColumnRenamed("node", "line_id"), "line-components")
     placed = _join_keys(places.select("doc_id", "row", "line_no", "line_id"), joined, "line_id", "left")
