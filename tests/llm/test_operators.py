@@ -211,21 +211,18 @@ def test_lines(spark, odd):
 
 def test_line_recall(spark, sf_dir):
     """Pairs found against all pairs of similar lines."""
-    lines = linededup.lines_of(docs(spark, sf_dir).select("doc_id", "text")).select(F.xxhash64("line").alias("id"), linededup.shingle_set(F.col("line")).alias("s")).dropDuplicates(["id"]).collect()
-    sets = [(r.id, set(r.s)) for r in lines]
+    lines = linededup.lines_of(docs(spark, sf_dir).select("text")).distinct().collect()
+    sets = [(r.line_id, linededup.shingles(r.line)) for r in lines]
     where = defaultdict(set)
     for k, (_, s) in enumerate(sets):
         for x in s:
             where[x].add(k)
-    pairs = {(min(i, j), max(i, j)) for c in where.values() if len(c) < 200 for i in c for j in c if i < j}
+    pairs = {(min(i, j), max(i, j)) for c in where.values() for i in c for j in c if i < j}
     true = [(sets[i][0], sets[j][0]) for i, j in pairs if len(sets[i][1] & sets[j][1]) >= 0.8 * len(sets[i][1] | sets[j][1])]
-    places = linededup.lines_of(docs(spark, sf_dir).select("doc_id", "text")).select(F.xxhash64("line").alias("line_id"), F.explode(linededup.bands(F.col("line"))).alias("band"))
-    from susceptra.operators.components import connected_components
-
-    links = linededup.line_links(docs(spark, sf_dir).select("doc_id", "text"), places)
-    root = {r.node: r.component for r in connected_components(links).collect()}
-    found = sum(root.get(a, a) == root.get(b, b) for a, b in true)
-    assert not true or found >= 0.9 * len(true)
+    signed = linededup.signed_lines(docs(spark, sf_dir).select("doc_id", "text")).filter("bands is not null")
+    found = linededup.line_components(docs(spark, sf_dir).select("doc_id", "text"), signed.select(F.explode("bands").alias("band"), "line_id", "sketch"))
+    root = {r.line_id: r.component for r in found.collect()}
+    assert true and sum(root.get(a, a) == root.get(b, b) for a, b in true) >= 0.9 * len(true)
 
 
 def test_webp_payload(spark, odd):
