@@ -129,15 +129,18 @@ def family(symbol: Column, kept: tuple[str, ...] = ()) -> Column:
 
 def genotype_tokens(x: Column) -> Column:
     """PR26: array of (symbol, kind) of a genotype list, without broken entries."""
-    parts = F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda t: F.struct(F.split_part(strip(t), F.lit("="), F.lit(1)).alias("symbol"), F.split_part(strip(t), F.lit("="), F.lit(2)).alias("tag")))
+    first = lambda t: F.substring_index(t, "=", 1)
+    parts = F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda t: F.struct(first(strip(t)).alias("symbol"), F.substring(strip(t), F.length(first(strip(t))) + 2, F.length(t)).alias("tag")))
     kept = F.filter(parts, lambda p: (p["symbol"] != "") & (p["tag"] != "MISTRANSLATION"))
     return F.transform(kept, lambda p: F.struct(p["symbol"].alias("symbol"), F.when(p["tag"] == "POINT", "point").otherwise("gene").alias("kind")))
 
 
-def hit_tag(method: Column) -> Column:
-    """PR27: order matters; empty where no tag is due."""
-    m = F.coalesce(method, F.lit(""))
-    return F.when(F.startswith(m, F.lit("POINT")), "POINT").when(m == "INTERNAL_STOP", "MISTRANSLATION").when(F.startswith(m, F.lit("PARTIAL_CONTIG_END")), "PARTIAL_END_OF_CONTIG").when(F.startswith(m, F.lit("PARTIAL")), "PARTIAL").when(m == "HMM", "HMM").otherwise("")
+def hit_tag(method: Column, subtype: Column) -> Column:
+    """PR27: order matters, points go by subtype; empty where no tag is due."""
+    m, s = F.coalesce(method, F.lit("")), F.coalesce(subtype, F.lit(""))
+    tag = F.when(F.startswith(s, F.lit("POINT")), "POINT").when(m == "INTERNAL_STOP", "MISTRANSLATION")
+    tag = tag.when(F.startswith(m, F.lit("PARTIAL_CONTIG_END")), "PARTIAL_END_OF_CONTIG").when(F.startswith(m, F.lit("PARTIAL")), "PARTIAL")
+    return tag.when(m == "HMM", "HMM").otherwise("")
 
 
 def log2_bound(x: Column) -> Column:

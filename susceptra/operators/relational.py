@@ -111,7 +111,7 @@ def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(exact).alias("n_exact"),
         rate(F.col("pred_sir") == "S", known & (F.col("lab_sir") == "R")).alias("vme"), rate(F.col("pred_sir") == "R", known & (F.col("lab_sir") == "S")).alias("me"),
         rate((F.col("pred_sir") != F.col("lab_sir")) & ((F.col("pred_sir") == "I") | (F.col("lab_sir") == "I")), known).alias("mine"),
-        rate(F.col("pred_sir") == F.col("lab_sir"), known).alias("categorical"), rate(step <= 1.0, exact).alias("essential"), rate(step < 1e-9, exact).alias("exact"),
+        rate(F.col("pred_sir") == F.col("lab_sir"), known).alias("categorical"), rate(step <= 1.0 + 1e-9, exact).alias("essential"), rate(step < 1e-9, exact).alias("exact"),
         F.avg(((F.col("high") > F.col("lab_lower")) & (F.col("low") <= F.col("lab_upper"))).cast("double")).alias("coverage"), F.avg(F.log2("high") - F.log2("low")).alias("width"),
     )
 
@@ -179,7 +179,7 @@ def frequent_columns(long: DataFrame, group: str, key: str, column: str, least:
 
 
 def qc_flags(rows: DataFrame, max_contigs: int = 500, size_tolerance: float = 0.20, max_distance: float = 0.05) -> DataFrame:
-    """DQ3: rows (n_contigs, total_length, expected, species, mash_species, mash_distance) -> plus qc_fail_reason, qc_pass."""
+    """DQ3: rows (n_contigs, total_length, expected, species, mash_species, mash_distance) -> plus qc_fail_reason, qc_pass; measures of empty assemblies are null."""
     empty = F.coalesce("n_contigs", F.lit(0)) == 0
     checks = (
         (F.col("n_contigs") > max_contigs, "too_fragmented"), (F.abs(F.col("total_length") / F.col("expected") - 1) > size_tolerance, "wrong_genome_size"), (F.col("mash_species").isNull(), "no_mash_result"),
@@ -187,6 +187,9 @@ def qc_flags(rows: DataFrame, max_contigs: int = 500, size_tolerance: float = 0.
     )
     joined = F.nullif(F.concat_ws(";", *[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in checks]), F.lit(""))
     out = rows.withColumn("qc_fail_reason", F.when(empty, "download_failed").otherwise(joined))
+    for c in ("total_length", "n50", "gc_percent"):
+        if c in rows.columns:
+            out = out.withColumn(c, F.when(~empty, F.col(c)))
     return out.withColumn("qc_pass", F.col("qc_fail_reason").isNull())
 
 

@@ -23,6 +23,18 @@ def greedy_fill(names: list[str], sizes: list[int], seed: int, least: float = 0.
     return chosen
 
 
+def fill_with_classes(names: list[str], sizes: list[int], counts: dict, drugs: list[str], seed: int, tries: int = 50, least_per_class: int = 10) -> set[str]:
+    """SO5: the first of so many seeded fills whose test set has enough R and S of every drug; raises where none has.
+
+    counts: cluster -> {(drug, sir): n}.
+    """
+    for attempt in range(seed, seed + tries):
+        chosen = greedy_fill(names, sizes, attempt)
+        if all(sum(counts.get(c, {}).get((d, x), 0) for c in chosen) >= least_per_class for d in drugs for x in "RS"):
+            return chosen
+    raise ValueError("no seed gave a test set with R and S of every drug")
+
+
 def folds(names: list[str], sizes: list[int], k: int) -> dict[str, int]:
     """SO6: largest cluster first into the emptiest fold, lowest number on ties."""
     load, out = [0] * k, {}

@@ -84,3 +84,60 @@ def alignments(spark: SparkSession, path: str, least_length: int = 500, least_id
     back = F.col("strand") == "-"
     start, end = F.when(back, F.col("donor_length") - F.col("te")).otherwise(F.col("ts")), F.when(back, F.col("donor_length") - F.col("ts")).otherwise(F.col("te"))
     return kept.select("donor", "strand", "query", "qs", "qe", start.alias("ts"), end.alias("te"), "donor_length", "identity")
+
+
+def biosamples(spark: SparkSession, path: str, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
+    """SC8: BioSample XML -> (biosample, one column per wanted attribute) and (biosample, cells) with a row per antibiogram row.
+
+    An attribute goes by its harmonised name, else by its own; cells maps normalised header names to values, of tables
+    whose class starts with Antibiogram.
+    """
+    named = "_attribute_name string, _harmonized_name string, _VALUE string"
+    cells = "struct<Cell: array<string>>"
+    table = f"struct<_class: string, Header: {cells}, Body: struct<Row: array<{cells}>>>"
+    schema = f"Ids struct<Id: array<struct<_db: string, _VALUE: string>>>, Attributes struct<Attribute: array<struct<{named.replace(' string', ': string')}>>>, Description struct<Comment: struct<Table: array<{table}>>>"
+    found = spark.read.format("xml").option("rowTag", "BioSample").schema(schema).load(path)
+    own = F.filter("Ids.Id", lambda i: i["_db"] == "BioSample")
+    found = found.withColumn("biosample", F.get(own, F.lit(0))["_VALUE"]).filter("biosample is not null")
+    pairs = found.select("biosample", F.explode_outer("Attributes.Attribute").alias("a")).select("biosample", F.coalesce("a._harmonized_name", "a._attribute_name").alias("name"), F.col("a._VALUE").alias("value"))
+    attributes = pairs.groupBy("biosample").pivot("name", wanted).agg(F.first("value", ignorenulls=True))
+    tables = found.select("biosample", F.explode("Description.Comment.Table").alias("t")).filter(F.startswith(F.col("t._class"), F.lit("Antibiogram")))
+    header = F.transform("t.Header.Cell", lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
+    rows = tables.select("biosample", header.alias("header"), F.explode("t.Body.Row").alias("row")).select("biosample", F.map_from_arrays("header", F.col("row.Cell")).alias("cells"))
+    return attributes, rows
+
+
+def sparse_matrix(spark: SparkSession, path: str, n_rows: int, n_columns: int) -> DataFrame:
+    """SC13: (row, column, value) of a long file; a place outside of the stated shape raises when it is read."""
+    found = spark.read.option("header", True).schema("row int, column int, value int").csv(path)
+    fits = F.col("row").between(0, n_rows - 1) & F.col("column").between(0, n_columns - 1)
+    return found.filter(F.assert_true(fits, F.lit("a place outside of the matrix's shape")).isNull())
+
+
+def mapping_table(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """SC14: (key, value) of the flat `key: value` lines of a YAML dimension; comments and blank lines go, quotes are taken off."""
+    kept = lines.select(F.regexp_replace("value", r"\s+#.*$|^#.*$", "").alias("value")).filter("trim(value) <> ''")
+    strip = lambda c: F.regexp_replace(F.trim(c), "^[\"']|[\"']$", "")
+    return kept.select(strip(F.substring_index("value", ":", 1)).alias("key"), strip(F.expr("substring(value, instr(value, ':') + 1)")).alias("value"))
+
+
+def reference_bank(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """SC21: manifest (file, sha256, length) against the files -> (file, header, length, reason): missing_file, checksum_differs, not_one_record, length_differs or null."""
+    blob = spark.read.format("binaryFile").load(path)
+    text = F.decode("content", "UTF-8")
+    records = F.filter(F.split(F.concat(F.lit("\n"), text), "\n>"), lambda r: F.trim(r) != "")
+    first = F.get(records, F.lit(0))
+    seen = blob.select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("__sha"), F.size(records).alias("__n"),
+        F.trim(F.substring_index(first, "\n", 1)).alias("header"), F.length(F.regexp_replace(F.substring(first, F.length(F.substring_index(first, "\n", 1)) + 1, F.length(first)), r"\s", "")).alias("__length"),
+    )
+    j = manifest.join(seen, "file", "left")
+    reason = F.when(F.col("__sha").isNull(), "missing_file").when(F.col("__sha") != F.col("sha256"), "checksum_differs").when(F.col("__n") != 1, "not_one_record").when(F.col("__length") != F.col("length"), "length_differs")
+    return j.select("file", "header", F.col("__length").alias("length"), reason.alias("reason"))
+
+
+def bank_candidates(records: DataFrame, least: int = 1_000_000) -> DataFrame:
+    """SC22: (file, header, sequence) -> the files' only records that are no plasmid and longer than least; other files go."""
+    own = records.filter(~F.contains(F.lower("header"), F.lit("plasmid")) & (F.length("sequence") > least))
+    one = own.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("file")
+    return own.join(one, "file", "left_semi")
