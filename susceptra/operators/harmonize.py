@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from susceptra.functions import mic
 from susceptra.operators.relational import asof_backward, consensus, first_in_group, with_reason
-from susceptra.sources.sinks import free_name
+from susceptra.storage import free_name
 
 #: Fixed value: the evidence class that counts.
 LAB_EVIDENCE = "Laboratory Method"

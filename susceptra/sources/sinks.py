@@ -16,14 +16,6 @@ from susceptra.operators.relational import first_in_group
 MOST_ROWS = 100_000
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """The wanted column name, or one like it that df does not have."""
-    name = wanted
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
-
-
 def write_summary(df: DataFrame, path: str, sep: str = ",") -> None:
     """SK2: delimited text with a header. Never overwrites."""
     df.write.option("header", True).option("sep", sep).mode("errorifexists").csv(path)

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set (single-machine tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where none is set and all runs on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         path = f"file://{tempfile.gettempdir()}/susceptra-checkpoints"
         spark.conf.set("susceptra.checkpoint.dir", path)
     return path.rstrip("/")
@@ -50,3 +53,11 @@ def small_join(left: DataFrame, dim: DataFrame, left_key: str, dim_key: str, sal
     salted = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
     dealt = left.withColumn("__deal", F.pmod(salt, F.lit(32)).cast("int"))
     return dealt.join(salted, dealt[left_key].eqNullSafe(salted[dim_key]) & (dealt["__deal"] == salted["__salt"]), "left").drop(salted[dim_key]).drop("__deal", "__salt")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """The wanted column name, or one like it that df does not have."""
+    name = wanted
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
