@@ -38,7 +38,7 @@ ROWS, BANDS = 5, 12
 #: Of the sketch's ROWS * BANDS bits.
 MAX_DIFFER = 17
 #: Open bands of up to this many lines are compared pair by pair; (rows, bands) for the lines of larger ones.
-SMALL, FINE = 32, (8, 80)
+SMALL, FINE = 512, (8, 80)
 #: Code points hashed at once, and line ids a task remembers so that it signs repeated lines once.
 BLOCK, REMEMBERED = 1 << 16, 200_000
 #: Up to this many short rows (a key of 8 bytes, at most with a place) are broadcast; beyond, they are joined by a shuffle.
