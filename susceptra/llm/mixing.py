@@ -98,8 +98,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, seed: s
     return out.withColumn("copies", F.col("whole") + extra).drop("__v", "__source", "whole", "goal", "docs", "cut1", "cut2", "got1")
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document repeated as often as mix_sources takes it, in the columns of docs that do not clash with it."""
-    mixed = mix_sources(docs, **options)
+def take(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: every row of docs as often as mix_sources takes it, in the columns of docs, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"))
+    mixed = mix_sources(packed, **options)
     times = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return mixed.withColumn("__copy", F.explode(times)).select(*[c for c in docs.columns if c in mixed.columns and c not in ("size", "source_size", "target", "copies")])
+    return mixed.select("row", F.explode(times).alias("copy")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from susceptra.llm.text import table
-from susceptra.storage import bounded_batches
+from susceptra.storage import bounded_batches, free_name
 
 BITS = 18
 #: Bound of the training sample: the labelled documents with the smallest md5 of their id.
@@ -126,10 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, **options)
     return train_ftrl(rows, **options)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (all by default) plus score; whole texts are read, null counts as empty."""
+def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The given columns of docs (all by default) plus the score under name, in the place of a column so called; whole texts are read, null counts as empty."""
     bounded_batches(docs.sparkSession)
-    keep = [c for c in (columns if columns is not None else docs.columns) if c != "score"]
+    keep = [c for c in (columns if columns is not None else docs.columns) if c != name]
     own = text in keep and dict(docs.dtypes)[text] == "string"
     source = docs.select(*keep) if own else docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
@@ -137,19 +137,26 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                 scores = [model.score(t.as_py()) for t in part.column(text if own else "__text")]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(scores, pa.float64())], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(scores, pa.float64())], [*keep, name])
 
-    return source.mapInArrow(run, docs.select(*keep).schema.add("score", "double"))
+    return source.mapInArrow(run, docs.select(*keep).schema.add(name, "double"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from the threshold on) for every row of docs."""
+    """doc_id, held_out, score and predicted (1 from the threshold on) for every row of docs.
+
+    Null texts and ids are kept and judged as empty ones, repeated rows alike; other columns are not read; no rows give no rows.
+    """
     model = fit(docs, labels)
     scored = score(docs, model, columns=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those the classifier rejects; it learns from the labels table beside them."""
+    """docs without those the classifier rejects; it learns from the labels table beside them.
+
+    All columns stay as they are, also one named score. Null texts are judged as empty, repeated rows alike; no rows give no rows.
+    """
     model = fit(docs, table(docs.sparkSession, sf_dir, "labels"))
-    return score(docs, model).filter(F.col("score") >= threshold).select(*docs.columns)
+    name = free_name(docs, "__score")
+    return score(docs, model, name=name).filter(F.col(name) >= threshold).select(*docs.columns)
