@@ -94,12 +94,25 @@ m AS (SELECT *, CASE
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, '(^|\.)(ads-track\.example\.org|casino-win\.example\.org|cheap-pills\.example\.com|free-bets\.example\.com|spam-farm\.example\.org)$') THEN 'block'
+    WHEN host <> '' AND list_bool_or(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+      lambda i: md5(array_to_string(string_split(host, '.')[i:], '.')) LIKE '0%' OR array_to_string(string_split(host, '.')[i:], '.') IN
+      ('ads-track.example.org', 'casino-win.example.org', 'cheap-pills.example.com', 'free-bets.example.com', 'spam-farm.example.org'))) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM m
 """
 
 
+#: Digests in hexadecimal are turned into base 32 by their 160 bits, five at a time.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+b AS (SELECT page_id, octet_length(raw) AS payload_bytes, hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((('0x' || substr(hex, CAST((i * 5) // 4 + 1 AS INTEGER), 2))::BIGINT >> CAST(3 - (i * 5) % 4 AS BIGINT)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest FROM p),
+h AS (SELECT hex, min(page_id) AS head, count(*) AS n FROM b GROUP BY hex)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN n > 1 AND head IS NOT NULL AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM head THEN head END AS refers_to FROM b JOIN h USING (hex)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it; the other operators are tested against brute force, round trips or held-out rows in tests/llm."""
-    return {"op1_mix_sources": MIX_SQL, "op8_url_filter": URL_SQL}
+    return {"op1_mix_sources": MIX_SQL, "op8_url_filter": URL_SQL, "op9_warc": WARC_SQL}

@@ -42,7 +42,8 @@ def test_mix_targets_and_taken(spark, odd):
             if df is not odd:
                 assert abs(taken[s] - targets[s]) <= 0.03 * targets[s]
     assert mixing.take(odd.limit(0)).count() == 0
-    assert mixing.take(odd).columns == [c for c in odd.columns if c != "size"]
+    taken = mixing.take(odd)
+    assert taken.columns == odd.columns and {r["size"] for r in taken.collect()} == {"clash"}
 
 
 def test_fingerprints(spark, odd):
@@ -136,7 +137,7 @@ def test_ball_links_are_complete(spark):
 
 def test_url_rules_and_cascade(spark):
     urls = ["http://A.Example.NET/en/1", "https://x.net", "https://x.net/", "http://sub.free-bets.example.com/a?b#c", "http://free-bets.example.com", "http://example.com/de/x", "http://a.org/fr/", "nothing", None, "", "http://h?q=1#f"]
-    rows = urlfilter.judge(spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")).orderBy("page_id").collect()
+    rows = urlfilter.judge(spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string"), listed_md5=None).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule, r.verdict) for r in rows] == [
         ("a.example.net", "/en/1", "example.net/en/", "allow"), ("x.net", "", None, "allow"), ("x.net", "/", "net/", "block"), ("sub.free-bets.example.com", "/a", None, "block"), ("free-bets.example.com", "", None, "block"),
         ("example.com", "/de/x", "example.com/de/", "block"), ("a.org", "/fr/", "org/fr/", "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("h", "", None, "allow"),
@@ -153,6 +154,16 @@ def test_cascade_is_exact(spark):
     assert not urlfilter.build_cascade(universe, listed.limit(0)).levels
 
 
+def test_url_table_blocklist_and_edges(spark):
+    urls = [f"http://h{i}.d{i % 50}.example/x" for i in range(3000)] + ["http://h1.d1.example/x", None]
+    pages = spark.createDataFrame([(u, "clash") for u in urls], "url string, verdict string")
+    listed = spark.createDataFrame([(f"d{i}.example",) for i in range(0, 50, 7)] + [("h3.d3.example",)], "key string")
+    got = {(r.url, r.verdict) for r in urlfilter.judge(pages, rules=(), blocklist=(), listed_md5=None, listed=listed).collect()}
+    assert got == {(u, "block" if u and ((int(u.split(".d")[1].split(".")[0]) % 7 == 0) or "h3.d3." in u) else "allow") for u in urls}
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+    assert urlfilter.judge(pages).count() == len(urls)
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "ß\x00\r\n\r\nWARC/1.0", "y" * 300000, "<p>a</p>"]
     pages = spark.createDataFrame([(i if i != 6 else None, f"http://h/{i} ü", t) for i, t in enumerate(html)], "page_id long, url string, html string")
@@ -163,6 +174,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert [got[i].record_type for i in (0, 1, 2, 3, 4, None)] == ["response", "revisit", "response", "revisit", "response", "revisit"]
     assert got[1].refers_to == 0 and got[3].refers_to == 2 and got[None].refers_to == 0
     assert warc.archive_pages(pages.limit(0)).count() == 0
+    clash = pages.withColumn("record_type", F.lit("x")).withColumn("__digest", F.lit("y")).withColumn("refers_to", F.lit(99))
+    twice = {(r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(clash.unionByName(clash)).collect()}
+    assert (0, "response", None) in twice and (1, "revisit", 0) in twice and (4, "response", None) in twice
+    whole = warc.read_records(warc.normalise(warc.write_archives(warc.revisits(pages)))).collect()
+    assert {r.page_id: r.payload for r in whole if r.page_id is not None} == {0: b"<p>a</p>", 1: None, 2: b"", 3: None, 4: html[4].encode(), 5: html[5].encode()}
+    with pytest.raises(ValueError):
+        warc.unwrap(b"no message")
     raw = warc.record(1, "u", b"x" * 10) + warc.record(2, None, b"")
     packed = zlib.compressobj(1, zlib.DEFLATED, 31)
     content = packed.compress(raw) + packed.flush()
@@ -235,6 +253,24 @@ def test_webp_payload(spark, odd):
     assert webp.digests(odd.limit(0)).count() == 0
 
 
+def test_webp_round_trip_and_what_it_reaches(monkeypatch):
+    """Small images pass through codes, references and cache, all through three transforms."""
+    rng, reached = random.Random(2), set()
+    for name in ("_undo_predictor", "_undo_cross_colour", "_fixed_image", "_amount"):
+        monkeypatch.setattr(webp, name, lambda *a, f=getattr(webp, name), n=name: (reached.add(n), f(*a))[1])
+    for text in ("", "x", "abcd" * 100, "a small text of words and more words", "".join(chr(rng.randrange(32, 0x2000)) for _ in range(180)), "aXbY" * 30 + "zz" * 77):
+        payload = webp.pad(text.encode())
+        media = webp.encode_bytes(payload)
+        assert webp.decode_bytes(media)[1] == payload
+    assert len(webp.encode_bytes(webp.pad(b"one two three"))) < 300
+    for text in ("word " * 500, "".join(chr(rng.randrange(32, 0x2000)) for _ in range(5000))):
+        payload = webp.pad(text.encode())
+        assert webp.decode_bytes(webp.encode_bytes(payload))[1] == payload
+    assert reached == {"_undo_predictor", "_undo_cross_colour", "_fixed_image", "_amount"}
+    noise = np.frombuffer(rng.randbytes(4 * 7 * 9), np.uint8).reshape(7, 9, 4)
+    assert (webp.decode_stream(next(webp.frames(webp.encode(noise)))) == noise).all()
+
+
 class Writer:
     """Writes the format's harder parts, for the decoder to read."""
 
