@@ -9,7 +9,15 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ("harmonize_labels", "pair_counts_inclusion", "asof_breakpoint", "range_join_overlap", "presence_pivot", "column_map", "interval_union_coverage", "sketch_containment_topk", "agreement_metrics", "auroc", "conformal_fallback", "threshold_grid", "calibrated_interp", "confidence_levels", "qc_flags", "nearest_reference", "training_join", "op1_mix_sources", "op4_order_minhash", "op6_quality", "op8_url_filter", "op10_simhash")
+HEADLINE = (
+    "harmonize_labels", "pair_counts_inclusion", "asof_breakpoint", "range_join_overlap", "presence_pivot",
+    "column_map", "interval_union_coverage", "sketch_containment_topk", "agreement_metrics", "auroc",
+    "conformal_fallback", "threshold_grid", "calibrated_interp", "confidence_levels", "qc_flags", "nearest_reference",
+    "training_join", "route_mic_or_category", "canonical_genome_ids", "label_acceptance", "leakage_checklist",
+    "support_margin", "pairwise_rank", "calibration_support", "op1_mix_sources", "op2_sentencepiece",
+    "op3_license_scan", "op4_order_minhash", "op5_webp_media", "op6_quality", "op7_line_dedup", "op8_url_filter",
+    "op9_warc", "op10_simhash", "pipeline",
+)
 
 
 def main() -> None:
