@@ -42,7 +42,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL cannot express the classifier, MinHash or SentencePiece; tests/llm holds run() against the stages in plain Python.
+#: SQL cannot express the classifier, MinHash or SentencePiece; tests/llm checks the stages' operators by brute force and run()'s rows and columns.
 ORACLE_SQL = None
 
 
