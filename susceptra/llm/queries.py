@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from susceptra.llm import licenses, linededup, mixing, order_minhash, pieces, quality, simhash, urlfilter, warc, webp
+from susceptra.llm import clusters, licenses, linededup, mixing, ngramrules, order_minhash, pieces, quality, repair, simhash, sql, urlfilter, warc, webp
 from susceptra.llm.text import table
 
 
@@ -53,8 +53,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramrules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mix_sources, op2_sentencepiece, op3_license_scan, op4_order_minhash, op5_webp_media, op6_quality, op7_line_dedup, op8_url_filter, op9_warc, op10_simhash)
+    made = (op1_mix_sources, op2_sentencepiece, op3_license_scan, op4_order_minhash, op5_webp_media, op6_quality, op7_line_dedup, op8_url_filter, op9_warc, op10_simhash, op11_conversation_repair, op12_annulus_clusters, op13_ngram_rules)
     return {f.__name__: f for f in made}
 
 
@@ -115,4 +127,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it; the other operators are tested against brute force, round trips or held-out rows in tests/llm."""
-    return {"op1_mix_sources": MIX_SQL, "op8_url_filter": URL_SQL, "op9_warc": WARC_SQL}
+    return {"op1_mix_sources": MIX_SQL, "op8_url_filter": URL_SQL, "op9_warc": WARC_SQL, "op11_conversation_repair": sql.REPAIR_SQL, "op12_annulus_clusters": sql.cluster_sql()}

@@ -24,3 +24,8 @@ def text_of(column: str = "text") -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def hex_digest(text: Column) -> Column:
+    """SHA-256 of the text in UTF-8, in lower-case hexadecimal."""
+    return F.sha2(text.cast("binary"), 256)
