@@ -26,6 +26,8 @@ BITS = 16
 THRESHOLD = -0.5
 #: Counts added to each bucket of either side.
 SMOOTHING = 1.0
+#: Ids of 8 bytes that may be sent to every task.
+MOST_IDS = 2_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SPACE, _SYMBOL, _LATER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -113,44 +115,53 @@ def fails_counts(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
 
 
-def bucket_counts(texts: DataFrame, name: str) -> DataFrame:
-    """texts (raw binary) -> (bucket, name): occurrences over all rows; each task sends at most 2 ** BITS rows."""
+def bucket_counts(texts: DataFrame) -> DataFrame:
+    """texts (raw binary, trusted boolean) -> (trusted, bucket, n): occurrences over all rows, trusted ones on both sides; each
+    task sends at most 2 * 2 ** BITS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros((2, 1 << BITS), np.int64)
+        waiting: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def add() -> None:
+            for side, found in enumerate(waiting):
+                total[side] += np.bincount(np.concatenate(found), minlength=1 << BITS) if found else 0
+                found.clear()
+
         for b in batches:
-            waiting, size = [], 0
-            for x in b.column("raw"):
+            size = 0
+            for x, trusted in zip(b.column("raw"), b.column("trusted").to_pylist(), strict=True):
                 for found in ngrams(x.as_py() or b""):
-                    waiting.append(found)
+                    waiting[0].append(found)
+                    if trusted:
+                        waiting[1].append(found)
                     size += len(found)
                     if size >= 1 << 18:
-                        total += np.bincount(np.concatenate(waiting), minlength=1 << BITS)
-                        waiting, size = [], 0
-            if waiting:
-                total += np.bincount(np.concatenate(waiting), minlength=1 << BITS)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["bucket", name])
+                        add()
+                        size = 0
+            add()
+        side, found = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(side == 1), pa.array(found.astype(np.int32)), pa.array(total[side, found])], ["trusted", "bucket", "n"])
 
-    return texts.mapInArrow(run, f"bucket int, {name} long").groupBy("bucket").agg(F.sum(name).alias(name))
+    return texts.mapInArrow(run, "trusted boolean, bucket int, n long").groupBy("trusted", "bucket").agg(F.sum("n").alias("n"))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket, both smoothed: 2 ** BITS numbers, whatever the corpus.
 
-    Labels of an id that contradict each other count as 0; null labels and ids, and labels of no document, are ignored. A
-    semi join finds the labelled texts: Catalyst sends the ids where they are few, and a Bloom filter of them otherwise.
+    Labels of an id that contradict each other count as 0; null labels and ids, and labels of no document, are ignored. The
+    trusted ids are counted: up to MOST_IDS are sent to the tasks that read the texts, more are joined by a shuffle.
     """
-    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    raw = F.col("text").cast("string").cast("binary").alias("raw")
-    every = bucket_counts(docs.select(raw), "n").withColumn("target", F.lit(False))
-    trusted = bucket_counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi").select(raw), "n").withColumn("target", F.lit(True))
-    found = every.unionByName(trusted).toArrow()  # at most 2 * 2 ** BITS short rows
-    bucket, n, target = (found.column(c).to_numpy() for c in ("bucket", "n", "target"))
+    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id", F.lit(True).alias("trusted"))
+    if good.count() <= MOST_IDS:
+        good = F.broadcast(good)
+    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw")).join(good, "doc_id", "left").select("raw", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    found = bucket_counts(texts).toArrow()  # at most 2 * 2 ** BITS short rows
+    trusted, bucket, n = (found.column(c).to_numpy() for c in ("trusted", "bucket", "n"))
     sides = []
     for side in (True, False):
         counts = np.full(1 << BITS, SMOOTHING)
-        counts[bucket[target == side]] += n[target == side]
+        counts[bucket[trusted == side]] += n[trusted == side]
         sides.append(counts / counts.sum())
     return np.log(sides[0]) - np.log(sides[1])
 
