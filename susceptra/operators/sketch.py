@@ -8,43 +8,46 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_COMPLEMENT = np.arange(256, dtype=np.uint8)
-for _a, _b in ("AT", "CG", "GC", "TA"):
-    _COMPLEMENT[ord(_a)] = ord(_b)
+_UNKNOWN = 4
+_CODE = np.full(256, _UNKNOWN, np.uint8)
+# Two bits a base, in this order, so that 3 minus a code is its complement's.
+_CODE[list(b"ACGT")] = range(4)
 
 
-def kmer_hashes(seq: str, k: int, bits: int, alphabet_only: bool = True) -> np.ndarray:
-    """Distinct mixed hashes of canonical k-mers whose low bits are zero; windows with other letters are skipped."""
-    raw = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
-    if len(raw) < k:
+def kmer_hashes(seq: str, k: int = 19, bits: int = 11) -> np.ndarray:
+    """Distinct mixed hashes of canonical k-mers whose low bits are zero; windows with other letters than A, C, G, T are skipped.
+
+    A k-mer is the number of its two-bit codes, first base highest, and canonical is the smaller of both strands; k is 31 at most.
+    """
+    codes = _CODE[np.frombuffer(seq.encode("utf-8", "replace"), np.uint8)]
+    n = len(codes) - k + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    windows = np.lib.stride_tricks.sliding_window_view(raw, k)
-    if alphabet_only:
-        known = np.isin(raw, np.frombuffer(b"ACGT", np.uint8))
-        windows = windows[np.lib.stride_tricks.sliding_window_view(known, k).all(1)]
-    back = _COMPLEMENT[windows][:, ::-1]
-    one, two = np.zeros(len(windows), np.uint64), np.zeros(len(windows), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            one = one * np.uint64(257) + windows[:, i]
-            two = two * np.uint64(257) + back[:, i]
-        h = np.minimum(one, two)
-        # fixed values: the public splitmix64 finaliser
-        h ^= h >> np.uint64(30)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(27)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
+    unknown = np.concatenate(([0], np.cumsum(codes == _UNKNOWN)))
+    whole = unknown[k:] == unknown[:-k]
+    own, other = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    base = (codes & 3).astype(np.uint64)
+    four, three = np.uint64(4), np.uint64(3)
+    for i in range(k):
+        own = own * four + base[i : i + n]
+        other = other * four + (three - base[k - 1 - i : k - 1 - i + n])
+    h = np.minimum(own, other)[whole]
+    # fixed values: the public splitmix64 finaliser
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
     return np.unique(h[h & np.uint64((1 << bits) - 1) == 0])
 
 
-def sketch(df: DataFrame, key: str, seq: str, k: int = 19, bits: int = 11, alphabet_only: bool = True) -> DataFrame:
-    """(key, seq) -> (key, hash): hashes as signed longs."""
+def sketch(df: DataFrame, key: str, seq: str, k: int = 19, bits: int = 11) -> DataFrame:
+    """(key, seq) -> (key, hash): hashes as signed longs; null sequences have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, s in zip(b[key], b[seq], strict=True):
-                h = kmer_hashes(s or "", k, bits, alphabet_only)
+                h = kmer_hashes(s or "", k, bits)
                 yield pd.DataFrame({key: [i] * len(h), "hash": h.view(np.int64)})
 
     return df.select(key, seq).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, hash bigint")

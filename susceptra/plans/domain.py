@@ -329,7 +329,7 @@ def assembly_stats(spark, d):
     """PR39, AG29: contigs, length, N50 and GC of the letters A, C, G and T, of genomes."""
     from susceptra.functions.sequence import count_of
 
-    t = table(spark, d, "documents").filter("lang = 'en'").select((F.col("doc_id") % 20).alias("genome"), F.upper("text").alias("s"))
-    one = t.select("genome", F.length("s").alias("length"), (count_of(F.col("s"), "G") + count_of(F.col("s"), "C")).alias("gc"), (count_of(F.col("s"), "A") + count_of(F.col("s"), "T")).alias("at"))
+    t = table(spark, d, "documents").filter("lang = 'en'").select((F.col("doc_id") % 20).alias("genome"), F.col("text").alias("t"), F.translate("text", "acgt", "ACGT").alias("s"))
+    one = t.select("genome", F.length("t").alias("length"), (count_of(F.col("s"), "G") + count_of(F.col("s"), "C")).alias("gc"), (count_of(F.col("s"), "A") + count_of(F.col("s"), "T")).alias("at"))
     total = one.groupBy("genome").agg(F.count(F.lit(1)).alias("n_contigs"), F.sum("length").alias("total_length"), r6(100.0 * F.sum("gc") / F.sum(F.col("gc") + F.col("at"))).alias("gc_percent"))
     return total.join(R.n50(one, ["genome"], "length"), "genome")

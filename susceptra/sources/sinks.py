@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,25 +76,39 @@ def verify_release(spark: SparkSession, root: str, version: str) -> DataFrame:
     return kept.join(now, "name").filter("n <> n_now or checksum <> sum_now").select("name", F.lit("checksum_differs").alias("reason"))
 
 
-def upsert(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], at: str) -> str:
+def upsert(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], at: str, token: str | None = None) -> str:
     """SK6: changes over the table at path, the row of the greatest `at` of each key -> the folder of the new state.
 
-    States are folders of their own and CURRENT names the last whole one, so readers see the old state or the new one.
+    States are folders of their own, and a row appended to path/commits makes one the current: nothing is ever overwritten
+    or deleted, so a crash anywhere leaves the state before. A token that was committed already changes nothing, which
+    makes a repeated micro-batch harmless. Two writers at once each commit a whole state; the later one's is current.
     """
+    commits = _commits(spark, path)
+    if token is not None and (done := [c for c in commits if c.token == token]):
+        return f"{path}/{done[0].name}"
     old = current(spark, path)
     both = changes if old is None else old.unionByName(changes)
-    name = f"state-{uuid.uuid4().hex}"
-    first_in_group(both, keys, F.col(at).desc(), F.xxhash64(*both.columns)).write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/CURRENT")
+    number = max((c.number for c in commits), default=0) + 1
+    name = f"state-{number:09d}-{uuid.uuid4().hex}"
+    first_in_group(both, keys, F.col(at).desc(), F.xxhash64(*[F.col(f"`{c}`") for c in both.columns])).write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(number, name, token)], COMMIT).coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return f"{path}/{name}"
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last whole state of an upserted table, or None before the first."""
+COMMIT = "number long, name string, token string"
+
+
+def _commits(spark: SparkSession, path: str) -> list:
+    """All commits, one short row each."""
     try:
-        name = spark.read.parquet(f"{path}/CURRENT").first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return None
+        return spark.read.schema(COMMIT).parquet(f"{path}/commits").collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
         raise
-    return spark.read.parquet(f"{path}/{name[0]}")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The state committed last, or None before the first."""
+    last = max(_commits(spark, path), key=lambda c: (c.number, c.name), default=None)
+    return None if last is None else spark.read.parquet(f"{path}/{last.name}")
