@@ -1,16 +1,18 @@
-"""Column functions of the susceptibility domain; all native, all null-safe."""
+"""Column functions of the susceptibility domain; null-safe, and native but for normal_cdf."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from susceptra.functions.normal import cdf
+
 INF = float("inf")
 #: Keyword -> class, first match wins.
 METHOD_KEYWORDS = (("disk", "disk"), ("kirby", "disk"), ("zone", "disk"), ("etest", "gradient"), ("e-test", "gradient"), ("gradient", "gradient"), ("strip", "gradient"), ("broth", "dilution"), ("microdilution", "dilution"), ("agar dilution", "dilution"), ("dilution", "dilution"), ("mic", "dilution"))
+# Keywords, units, phenotypes, signs, standards, missing texts, and the levels with their lower edges.
 ISOLATION_KEYWORDS = (("blood", "blood"), ("bacteremia", "blood"), ("urin", "urine"), ("sputum", "respiratory"), ("bronch", "respiratory"), ("trache", "respiratory"), ("lung", "respiratory"), ("respir", "respiratory"), ("rectal", "gut"), ("stool", "gut"), ("feces", "gut"), ("faeces", "gut"), ("fecal", "gut"), ("perianal", "gut"), ("wound", "wound"), ("pus", "wound"), ("abscess", "wound"))
 UNITS = ("mg/l", "ug/ml", "µg/ml", "μg/ml", "mcg/ml")
 PHENOTYPES = {"susceptible": "S", "intermediate": "I", "susceptible-dose dependent": "I", "resistant": "R"}
@@ -164,11 +166,12 @@ def sir_of_mic(v: Column, s: Column, r: Column) -> Column:
 
 
 def _normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(-x / math.sqrt(2.0)))
+    p = cdf(z.to_numpy(float))
+    return pd.Series(p).where(~np.isnan(p))
 
 
 def normal_cdf(z: Column) -> Column:
-    """PR33: erfc has no Spark function; Arrow batches, one call per row value."""
+    """PR33: erfc has no Spark function; numpy on Arrow batches. Null and nan give null."""
     return F.pandas_udf(_normal_cdf, "double")(z)
 
 

@@ -536,14 +536,6 @@ def lpt_folds(spark, d):
     return lpt_fold(_clusters(spark, d), 5)
 
 
-@query()
-def isotonic_fit(spark, d):
-    """AG20."""
-    from susceptra.ml.calibration import isotonic_by_pair
-
-    return isotonic_by_pair(B.preds(spark, d).select(F.col("l_returnflag").alias("pair"), "p", (~F.col("resistant")).cast("double").alias("y")), "pair", "p", "y")
-
-
 @query()
 def censored_nll(spark, d):
     """ML1."""
@@ -553,14 +545,6 @@ def censored_nll(spark, d):
     return nll(rows, "drug")
 
 
-@query()
-def kmer_sketch_u64(spark, d):
-    """ML8."""
-    from susceptra.operators.sketch import sketch
-
-    return sketch(table(spark, d, "documents").select("doc_id", F.upper("text").alias("seq")), "doc_id", "seq", k=5, bits=3, alphabet_only=False)
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_orderkey % 40 = 1), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, both_ways.b FROM r JOIN both_ways ON r.seen = both_ways.a)
 SELECT node, min(seen) AS component FROM r GROUP BY 1""")
