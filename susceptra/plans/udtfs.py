@@ -1,4 +1,4 @@
-"""Queries that call the table functions from SQL."""
+"""Queries that call the table functions from SQL, and checks of whole files."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from susceptra.functions import tables
 from susceptra.plans.bridge import table
 from susceptra.plans.catalogue import query
+from susceptra.sources import uploads
 
 _LINES_SQL = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents WHERE text IS NOT NULL)"
 
@@ -40,3 +41,18 @@ def cs_table_function(spark, d):
     strings = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.sort_array(F.collect_list(part))["part"], "").alias("cs"))
     strings.createOrReplaceTempView("cs_strings")
     return spark.sql("SELECT k, e.number, e.sign, e.size, e.target, e.query FROM cs_strings, LATERAL cs_events(cs) AS e")
+
+
+_NAMES = (".fasta", ".fna", ".txt", ".fa.gz", "", ".FA")
+
+
+@query(f"""WITH f AS (SELECT 'u/g' || doc_id || (['{"', '".join(_NAMES)}'])[doc_id % 6 + 1] AS path, doc_id % 6 AS kind, CASE doc_id % 3 WHEN 0 THEN chr(10) || '  ' || chr(10) || '>' WHEN 1 THEN '>' ELSE '' END || coalesce(text, '') AS t FROM documents),
+g AS (SELECT *, octet_length(encode(t)) AS size FROM f),
+h AS (SELECT *, CASE WHEN kind IN (2, 4) THEN 'extension' WHEN size > 2000 THEN 'too_large' WHEN kind = 3 AND size > 0 THEN 'bad_gzip' WHEN NOT starts_with(regexp_replace(t, '^([ \t\f\v]*[\n\r])*', ''), '>') THEN 'not_fasta' END AS reason FROM g)
+SELECT path, CASE reason WHEN 'extension' THEN 415 WHEN 'too_large' THEN 413 WHEN 'bad_gzip' THEN 422 WHEN 'not_fasta' THEN 422 ELSE 200 END AS status, reason, kind = 3 AS packed, CAST(CASE WHEN reason = 'bad_gzip' THEN 0 ELSE size END AS BIGINT) AS size FROM h""")
+def upload_acceptance(spark, d):
+    """DQ8: documents as files of six kinds of names, a third of them with blank lines in front."""
+    lead = F.when(F.col("doc_id") % 3 == 0, "\n  \n>").when(F.col("doc_id") % 3 == 1, ">").otherwise("")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 6 + 1).cast("int"))
+    files = table(spark, d, "documents").select(F.concat(F.lit("u/g"), F.col("doc_id").cast("string"), name).alias("path"), F.concat(lead, F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+    return uploads.upload_checks(files.select("path", F.length("content").cast("long").alias("length"), "content"), 2000)
