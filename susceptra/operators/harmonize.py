@@ -73,25 +73,27 @@ def routed(rows: DataFrame, versions: DataFrame) -> DataFrame:
     versions (species, drug, standard, effective_year, s, r) serve the rows of the category path: the edition in force in
     standard_year, or, where no year is known, what all editions agree on.
     """
-    key = free_name(rows, "__row")
-    keys = ["species", "drug", "standard"]
-    by_year = asof_backward(rows.withColumn(key, F.lit(0)), versions.select(*keys, "effective_year", "s", "r"), keys, "standard_year").drop("effective_year", key)
-    agreed = consensus(versions, ["species", "drug"]).select(*keys, F.col("s").alias("__s"), F.col("r").alias("__r"))
-    r = by_year.join(agreed, keys, "left")
+    keys, columns = ["species", "drug", "standard"], rows.columns
+    key, own_s, own_r, by, sign, number, step, i, s, res = (free_name(rows, x) for x in ("__row", "__s", "__r", "__by_mic", "__sign", "__number", "__step", "__interval", "s", "r"))
+    editions = versions.select(*keys, "effective_year", F.col("s").alias(s), F.col("r").alias(res))
+    by_year = asof_backward(rows.withColumn(key, F.lit(0)), editions, keys, "standard_year").drop("effective_year", key)
+    agreed = consensus(versions, ["species", "drug"]).select(*keys, F.col("s").alias(own_s), F.col("r").alias(own_r))
+    # each step is a column before the next uses it: written into one another, the branches repeat them beyond what can be compiled
+    r = by_year.join(agreed, keys, "left").withColumns({by: takes_mic(F.col("method"), F.col("value")), sign: mic.normal_sign(F.col("sign")), number: mic.first_number(F.col("value"))})
+    r = r.withColumn(step, mic.snap(F.col(number)))
     unknown = F.col("standard_year").isNull()
-    s, res = F.when(unknown, F.col("__s")).otherwise(F.col("s")), F.when(unknown, F.col("__r")).otherwise(F.col("r"))
-    by_mic = takes_mic(F.col("method"), F.col("value"))
-    sign, number = mic.normal_sign(F.col("sign")), mic.first_number(F.col("value"))
-    step = mic.snap(number)
-    i = F.when(by_mic, mic.from_mic(sign, step)).otherwise(mic.from_sir(F.col("sir"), s, res))
-    r = r.withColumn("__i", i)
-    no_unit = ~F.coalesce(mic.known_unit(F.col("unit")), F.lit(False))
+    low, high = F.when(unknown, F.col(own_s)).otherwise(F.col(s)), F.when(unknown, F.col(own_r)).otherwise(F.col(res))
+    r = r.withColumn(i, F.when(F.col(by), mic.from_mic(F.col(sign), F.col(step))).otherwise(mic.from_sir(F.col("sir"), low, high)))
+    by_mic, no_unit = F.col(by), ~F.coalesce(mic.known_unit(F.col("unit")), F.lit(False))
     r = with_reason(r, [
-        (by_mic & (sign.isNull() | number.isNull()), "unparseable_value"), (by_mic & no_unit, "bad_unit"), (by_mic & step.isNull(), "off_grid_value"),
-        (~by_mic & F.col("sir").isNull(), "no_value_no_phenotype"), (~by_mic & F.col("standard").isNull(), "no_standard_for_sir_only"), (~by_mic & F.col("__i").isNull(), "no_breakpoint"),
+        (by_mic & (F.col(sign).isNull() | F.col(number).isNull()), "unparseable_value"), (by_mic & no_unit, "bad_unit"), (by_mic & F.col(step).isNull(), "off_grid_value"),
+        (~by_mic & F.col("sir").isNull(), "no_value_no_phenotype"), (~by_mic & F.col("standard").isNull(), "no_standard_for_sir_only"), (~by_mic & F.col(i).isNull(), "no_breakpoint"),
     ])
-    r = r.withColumn("mic_lower", F.col("__i.lower")).withColumn("mic_upper", F.col("__i.upper")).withColumn("censor", F.when(F.col("__i").isNotNull(), mic.censor(F.col("__i.lower"), F.col("__i.upper"))))
-    return r.withColumn("raw_result", F.when(by_mic, F.concat(sign, mic.strip(F.col("value")))).otherwise(F.col("sir"))).drop("__i", "__s", "__r", "s", "r")
+    lower, upper = F.col(f"{i}.lower"), F.col(f"{i}.upper")
+    r = r.withColumn("mic_lower", lower).withColumn("mic_upper", upper).withColumn("censor", F.when(F.col(i).isNotNull(), mic.censor(lower, upper)))
+    r = r.withColumn("raw_result", F.when(by_mic, F.concat(F.col(sign), mic.strip(F.col("value")))).otherwise(F.col("sir")))
+    made = ("reason", "mic_lower", "mic_upper", "censor", "raw_result")
+    return r.select(*[c for c in columns if c not in made], *made)
 
 
 def genome_ids(rows: DataFrame, meta: DataFrame) -> DataFrame:
