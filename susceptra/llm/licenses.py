@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from susceptra.llm.text import ascii_lower, text_of
-from susceptra.storage import bounded_batches
+from susceptra.storage import bounded_batches, free_name
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base labels.
@@ -160,7 +160,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> Da
 
     spans holds (start, end, label) of every template match, in words. Null text is empty: no words, no labels, score 0.
     Only texts that hold some template's or phrase's longest mandatory word leave the JVM; all texts are counted whole. Repeated rows and other
-    columns are kept; columns named like results are replaced.
+    columns are kept, whatever their names; columns named like results are replaced. No rows give no rows.
     """
     bounded_batches(docs.sparkSession)
     automata = [compile_template(*t) for t in templates]
@@ -183,6 +183,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> Da
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "spans", "labels", "score"]
     keep = [c for c in docs.columns if c not in [*names, text]]
     low: Column = ascii_lower(text_of(text))
-    ready = docs.withColumn("__low", low).withColumn("__n", F.regexp_count(F.col("__low"), F.lit(WORD)).cast("long"))
-    ready = ready.select(*keep, F.col("__n").alias("n_words"), F.when(F.col("__low").rlike(hint(templates)), F.col("__low")).alias("__hint"))
-    return ready.withColumn("__f", found("__hint")).select(*keep, "n_words", *[F.col("__f")[n].alias(n) for n in names[1:]])
+    whole, hinted, result = (free_name(docs, x) for x in ("__low", "__hint", "__found"))
+    ready = docs.select(*[F.col(f"`{c}`") for c in keep], low.alias(whole)).withColumn("n_words", F.regexp_count(F.col(whole), F.lit(WORD)).cast("long"))
+    ready = ready.withColumn(hinted, F.when(F.col(whole).rlike(hint(templates)), F.col(whole)))
+    return ready.withColumn(result, found(hinted)).select(*[F.col(f"`{c}`") for c in keep], "n_words", *[F.col(result)[n].alias(n) for n in names[1:]])

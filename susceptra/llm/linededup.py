@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from susceptra.operators.components import connected_components
-from susceptra.storage import bounded_batches, let, materialise
+from susceptra.storage import bounded_batches, free_name, let, materialise
 
 CHECK, SIMILARITY = 5, 0.8
 MIN_CHARS = CHECK + 1
@@ -295,33 +295,35 @@ def _join_keys(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFra
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_KEYS else right, key, how)
 
 
-def _without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with text rewritten, plus __gone: the numbers of the lines taken out, null where none were."""
+def _without_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with text rewritten plus the numbers of the lines taken out, null where none were, and that column's name."""
+    row, gone_name = free_name(docs, "__row"), free_name(docs, "__gone")
     slim = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = repeated_lines(slim).groupBy("row").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("row", "__row")
+    gone = repeated_lines(slim).groupBy("row").agg(F.collect_set("line_no").alias(gone_name)).withColumnRenamed("row", row)
     gone = materialise(gone, "gone")
-    lines, rows = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0)), F.count(F.lit(1))).first()
+    lines, rows = gone.agg(F.coalesce(F.sum(F.size(gone_name)), F.lit(0)), F.count(F.lit(1))).first()
     small = lines <= 4 * BROADCAST_KEYS and rows <= BROADCAST_KEYS
-    marked = docs.withColumn("__row", row_key()).join(F.broadcast(gone) if small else gone, "__row", "left")
-    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
+    marked = docs.withColumn(row, row_key()).join(F.broadcast(gone) if small else gone, row, "left")
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone_name))
     kept = let(F.split("text", "\n", -1), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
-    return marked.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).drop("__row")
+    return marked.withColumn("text", F.when(F.col(gone_name).isNull(), F.col("text")).otherwise(kept)).drop(row), gone_name
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated and near-repeated lines taken out of text; all rows and columns stay.
 
     A document may be left with empty text; n_chars, where docs has it, is counted anew. Null texts stay null. Rows equal
-    in doc_id and text are judged as one document, so all of them keep the same lines. No rows give no rows.
+    in doc_id and text are judged as one document, so all of them keep the same lines. Other columns stay as they are,
+    whatever their names. No rows give no rows.
     """
-    out = _without_repeats(docs)
+    out, gone = _without_repeats(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_removed, and kept_chars and kept_sha256 of the text that dedup_lines leaves (null: empty)."""
-    after = _without_repeats(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    after, gone = _without_repeats(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     kept = F.coalesce("text", F.lit(""))
-    return after.select("doc_id", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    return after.select("doc_id", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from susceptra.operators.components import connected_components
-from susceptra.storage import bounded_batches, materialise
+from susceptra.storage import bounded_batches, free_name, materialise
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 ROUTE_BITS, ROUTE_ROWS, SLICE = 6, 1 << 23, 1 << 19
@@ -201,9 +201,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, once; all columns are kept.
 
     Rows of one doc_id are told apart by their texts, so only rows of the same component remove each other; of rows equal
-    in both any one stays. A component of null ids only keeps one row.
+    in both any one stays. A component of null ids only keeps one row. Other columns stay, whatever their names.
     """
-    key = "__key"
+    key = free_name(docs, "__key")
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), F.col("text").cast("string")))
     marked = materialise(fingerprints(keyed.select("doc_id", key, F.col("text").cast("string").alias("text"))), "simhash")
     classes = _components(marked, radius).select("fp", "component")

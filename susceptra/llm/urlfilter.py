@@ -139,6 +139,7 @@ def judge(pages: DataFrame, rules=RULES, blocklist=BLOCKLIST, listed_md5: str |
     Where no rule fits, a url is blocked if its host or a parent is listed: in blocklist, by its md5, or in the table
     listed (key), which may be of any size. Null urls and urls without '://' have an empty
     host, no rule and verdict allow. Repeated rows and other columns are kept; columns named like the results are replaced.
+    No rows give no rows.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
@@ -165,4 +166,4 @@ def judge(pages: DataFrame, rules=RULES, blocklist=BLOCKLIST, listed_md5: str |
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     keys = suffixes(F.col("host"))
     hit = found_in(F.transform(keys, lambda k: F.xxhash64(k)), F.transform(keys, lambda k: F.xxhash64(F.concat(F.lit("#"), k))))
-    return parsed.withColumn("rule", rule).withColumn("__own", hit).withColumn("verdict", F.coalesce(verdict, F.when(F.col("__own"), F.lit("block")).otherwise(F.lit("allow")))).drop("__own")
+    return parsed.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(hit, F.lit("block")).otherwise(F.lit("allow"))))

@@ -192,12 +192,13 @@ def revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
     too many to broadcast.
     """
     size, digest, page = free_name(pages, "__size"), free_name(pages, "__digest"), free_name(pages, "__page")
+    first, n = free_name(pages, "__first"), free_name(pages, "__n")
     raw = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     keyed = pages.withColumn(size, F.octet_length(raw)).withColumn(digest, F.sha1(raw)).withColumn(page, F.col("page_id").cast("long"))
-    heads = keyed.filter(F.col(size) >= at_least).groupBy(size, digest).agg(F.min(page).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    heads = materialise(heads.filter("__n > 1 and __first is not null").drop("__n"), "shared-payloads")
+    heads = keyed.filter(F.col(size) >= at_least).groupBy(size, digest).agg(F.min(page).alias(first), F.count(F.lit(1)).alias(n))
+    heads = materialise(heads.filter((F.col(n) > 1) & F.col(first).isNotNull()).drop(n), "shared-payloads")
     joined = keyed.join(F.broadcast(heads) if heads.count() <= BROADCAST_HEADS else heads, [size, digest], "left")
-    refers = F.when(~F.col(page).eqNullSafe(F.col("__first")), F.col("__first"))
+    refers = F.when(~F.col(page).eqNullSafe(F.col(first)), F.col(first))
     return joined.withColumn("refers_to", refers).select(*[c for c in pages.columns if c != "refers_to"], "refers_to")
 
 
