@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from susceptra.plans import catalogue, domain, fitting, placing, stateful, udtfs  # noqa: F401
+from susceptra.plans import catalogue, columns, domain, fitting, placing, stateful, udtfs  # noqa: F401
 
 
 def rounded(rows):
