@@ -46,12 +46,30 @@ def assembly_reports(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("biosample is not null")
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header, sequence): upper-cased, lines joined; records without a sequence go. A '>' inside a header is kept."""
+def fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """SC9: (file, header, sequence): a-z raised, lines joined. A '>' inside a header is kept.
+
+    Records without a sequence go; with strict they raise when they are read, and a file without a byte raises at once.
+    """
+    if strict and (empty := _empty_files(spark, path)):
+        raise ValueError(f"empty FASTA: {', '.join(empty)}")
     records = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"^>", "").alias("record"))
     header = F.regexp_replace(F.substring_index("record", "\n", 1), r"\s+$", "")
     body = F.expr("substring(record, length(substring_index(record, '\\n', 1)) + 1)")
-    return records.select("file", header.alias("header"), F.upper(F.regexp_replace(body, r"\s", "")).alias("sequence")).filter("sequence <> ''")
+    sequence = F.translate(F.regexp_replace(body, r"\s", ""), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    found = records.select("file", header.alias("header"), sequence.alias("sequence"))
+    if strict:
+        refused = F.raise_error(F.concat(F.lit("empty FASTA: "), "file", F.lit(" "), "header")).cast("string")
+        return found.withColumn("sequence", F.when(F.col("sequence") == "", refused).otherwise(F.col("sequence")))
+    return found.filter("sequence <> ''")
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of no bytes at the path, of which Spark's readers know nothing; names and sizes only are listed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x for s in (system.globStatus(root) or []) for x in (system.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return [x.getPath().getName() for x in found if x.isFile() and x.getLen() == 0]
 
 
 def write_fasta(records: DataFrame, path: str, width: int = 80) -> None:
@@ -77,13 +95,26 @@ def class_table(tables: list[DataFrame]) -> DataFrame:
     return first_in_group(both.filter("class <> ''"), ["symbol"], F.col("rank").desc(), F.col("class")).select("symbol", "class")
 
 
-def alignments(spark: SparkSession, path: str, least_length: int = 500, least_identity: float = 0.80) -> DataFrame:
-    """A PAF file's alignments of the least length and identity; on the reverse strand donor places count from the other end."""
+def alignments(spark: SparkSession, path: str, least_length: int = 500, least_identity: float = 0.80, offsets: dict[str, int] | None = None) -> DataFrame:
+    """SC15: a PAF file's alignments of the least length and identity; on the reverse strand donor places count from the other end.
+
+    offsets say where a query that is a part of a sequence (left, right, a tile) starts in it: qs and qe count from the
+    sequence's start then. Columns fit `candidates.anchored`, whose part is the query's name.
+    """
     found = spark.read.schema(PAF_SCHEMA).option("sep", "\t").option("mode", "PERMISSIVE").csv(path)
-    kept = found.withColumn("identity", F.col("matches") / F.col("block")).filter((F.col("qe") - F.col("qs") >= least_length) & (F.col("identity") >= least_identity))
+    kept = found.withColumn("identity", F.col("matches") / F.greatest(F.col("block"), F.lit(1))).filter((F.col("qe") - F.col("qs") >= least_length) & (F.col("identity") >= least_identity))
     back = F.col("strand") == "-"
     start, end = F.when(back, F.col("donor_length") - F.col("te")).otherwise(F.col("ts")), F.when(back, F.col("donor_length") - F.col("ts")).otherwise(F.col("te"))
-    return kept.select("donor", "strand", "query", "qs", "qe", start.alias("ts"), end.alias("te"), "donor_length", "identity")
+    shift = F.lit(0)
+    for name, offset in (offsets or {}).items():
+        shift = F.when(F.col("query") == name, offset).otherwise(shift)
+    return kept.select("donor", "strand", "query", (F.col("qs") + shift).alias("qs"), (F.col("qe") + shift).alias("qe"), start.alias("ts"), end.alias("te"), "donor_length", "identity")
+
+
+def alignments_by_donor(found: DataFrame) -> DataFrame:
+    """SC15: alignments -> (donor, strand, hits): a group's alignments in the order of the query, bounded by what an aligner reports for one query."""
+    hit = F.struct("qs", "qe", "ts", "te", "identity", "query")
+    return found.groupBy("donor", "strand").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
 
 
 def biosamples(spark: SparkSession, path: str, wanted: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -50,3 +50,23 @@ def test_hits_and_classes(spark, tmp_path):
 def test_alignments(spark, tmp_path):
     (tmp_path / "p.paf").write_text("q\t1000\t0\t600\t-\td\t2000\t100\t700\t550\t600\t60\ttp:A:P\nq\t1000\t0\t400\t+\td\t2000\t0\t400\t400\t400\t60\nq\t1000\t0\t600\t+\td\t2000\t0\t600\t300\t600\t60\n")
     assert [tuple(r) for r in files.alignments(spark, str(tmp_path)).select("ts", "te").collect()] == [(1300, 1900)]
+
+
+def test_strict_fasta(spark, tmp_path):
+    (tmp_path / "ok.fa").write_text(">a\nac\n>b >c\nGT\n")
+    assert rows(files.fasta(spark, str(tmp_path), strict=True).select("header", "sequence")) == [("a", "AC"), ("b >c", "GT")]
+    (tmp_path / "bare.fa").write_text(">a\n>b\nGT\n")
+    with pytest.raises(Exception, match="empty FASTA: bare.fa a"):
+        files.fasta(spark, str(tmp_path), strict=True).collect()
+    (tmp_path / "none.fa").write_text("")
+    with pytest.raises(ValueError, match="none.fa"):
+        files.fasta(spark, str(tmp_path), strict=True)
+    assert files.fasta(spark, str(tmp_path)).count() == 3
+
+
+def test_alignments_of_parts(spark, tmp_path):
+    row = lambda *x: "\t".join(map(str, x))
+    (tmp_path / "a.paf").write_text("\n".join([row("left", 900, 0, 800, "+", "d0", 4000, 100, 900, 790, 800, 60), row("right", 900, 50, 900, "-", "d0", 4000, 1000, 1850, 850, 850, 60), row("right", 900, 0, 100, "+", "d0", 4000, 0, 100, 100, 100, 60)]))
+    found = files.alignments(spark, str(tmp_path), offsets={"right": 5000})
+    assert sorted((r.query, r.qs, r.qe, r.ts, r.te) for r in found.collect()) == [("left", 0, 800, 100, 900), ("right", 5050, 5900, 2150, 3000)]
+    assert {(r.donor, r.strand, len(r.hits)) for r in files.alignments_by_donor(found).collect()} == {("d0", "+", 1), ("d0", "-", 1)}
