@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def greedy_fill(names: list[str], sizes: list[int], seed: int, least: float = 0.15, most: float = 0.20) -> set[str]:
@@ -74,3 +75,37 @@ def lpt_fold(clusters: DataFrame, k: int) -> DataFrame:
         return pdf.assign(fold=[own[c] for c in pdf.cluster])
 
     return _one_task(clusters, "cluster string, n long, fold int", run)
+
+
+#: Clusters whose sizes and label counts are collected to be dealt out one after the other; more raise.
+MOST_CLUSTERS = 1_000_000
+
+
+def make_splits(lineages: DataFrame, labels: DataFrame, drugs: list[str], seed: int, k: int = 5, least_per_class: int = 10, tries: int = 50) -> DataFrame:
+    """SO5, SO6: lineages (genome, cluster, ...) plus split and fold (null in the test set); whole clusters go either way.
+
+    labels (genome, drug, sir). The test set is the first of so many seeded fills, of 15 to 20 % of the genomes, that has
+    enough R and S of every drug; if none has, this raises. The rules are sequential over clusters, so clusters' sizes and
+    counts, but no genomes, come to the driver; the assignment goes back as a small table.
+    """
+    sizes = lineages.filter("cluster is not null").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).limit(MOST_CLUSTERS + 1).collect()
+    if len(sizes) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    wanted = labels.filter(F.col("drug").isin(*drugs) & F.col("sir").isin("R", "S")).join(lineages.select("genome", "cluster"), "genome")
+    counts: dict[str, dict] = {}
+    for r in wanted.groupBy("cluster", "drug", "sir").agg(F.count(F.lit(1)).alias("n")).collect():  # clusters * drugs * 2
+        counts.setdefault(r.cluster, {})[r.drug, r.sir] = r.n
+    names, n = [r.cluster for r in sizes], [r.n for r in sizes]
+    test = fill_with_classes(names, n, counts, drugs, seed, tries, least_per_class)
+    rest = [(c, size) for c, size in zip(names, n, strict=True) if c not in test]
+    own = folds([c for c, _ in rest], [size for _, size in rest], k)
+    dealt = lineages.sparkSession.createDataFrame([(c, "test" if c in test else "train", own.get(c)) for c in names], "cluster string, split string, fold int")
+    return lineages.join(F.broadcast(dealt) if len(names) <= 100_000 else dealt, "cluster").select(*lineages.columns, "split", "fold")
+
+
+def lineage_ids(genomes: DataFrame, snp_clusters: DataFrame) -> DataFrame:
+    """SO7: genomes (genome, species, biosample) plus cluster: the species with the biosample's SNP cluster, without its version,
+    or marked as alone where there is none. snp_clusters (biosample, snp_cluster); of several the least counts."""
+    known = snp_clusters.filter("snp_cluster is not null").groupBy("biosample").agg(F.min(F.split_part("snp_cluster", F.lit("."), F.lit(1))).alias("snp__"))
+    own = F.coalesce("snp__", F.concat(F.lit("SOLO_"), F.coalesce("biosample", F.lit(""))))
+    return genomes.join(known, "biosample", "left").select(*genomes.columns, F.concat_ws("_", "species", own).alias("cluster"))

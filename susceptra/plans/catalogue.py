@@ -487,11 +487,28 @@ def contract_violations(spark, d):
     return R.violations(table(spark, d, "lineitem"), {"negative_price": F.col("l_extendedprice") < 0, "high_discount": F.col("l_discount") > 0.09, "unknown_flag": ~F.col("l_returnflag").isin("A", "N")})
 
 
-@query("SELECT c_custkey, c_mktsegment || '_' || CASE WHEN c_nationkey % 3 = 0 THEN 'single_' || c_custkey ELSE split_part('PDS' || c_nationkey || '.1', '.', 1) END AS lineage FROM customer")
+@query("SELECT c_custkey, c_mktsegment || '_' || CASE WHEN c_nationkey % 3 = 0 THEN 'SOLO_S' || c_custkey ELSE split_part('PDS' || c_nationkey || '.1', '.', 1) END AS lineage FROM customer")
 def lineage_ids(spark, d):
     """SO7."""
-    own = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("single_"), F.col("c_custkey").cast("string"))).otherwise(F.split_part(F.concat(F.lit("PDS"), F.col("c_nationkey").cast("string"), F.lit(".1")), F.lit("."), F.lit(1)))
-    return table(spark, d, "customer").select("c_custkey", F.concat_ws("_", "c_mktsegment", own).alias("lineage"))
+    return _lineages(spark, d).select(F.col("genome").alias("c_custkey"), F.col("cluster").alias("lineage"))
+
+
+def _lineages(spark, d):
+    from susceptra.operators import splits
+
+    c = table(spark, d, "customer")
+    sample = F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("biosample")
+    snp = c.filter("c_nationkey % 3 > 0").select(sample, F.concat(F.lit("PDS"), F.col("c_nationkey").cast("string"), F.lit(".1")).alias("snp_cluster"))
+    return splits.lineage_ids(c.select(F.col("c_custkey").alias("genome"), F.col("c_mktsegment").alias("species"), sample), snp)
+
+
+@query()
+def lineage_splits(spark, d):
+    """SO5, SO6, AG14: whole lineages to the test set until each drug has R and S there, the rest to five folds; tests replay it."""
+    from susceptra.operators import splits
+
+    labels = table(spark, d, "orders").select(F.col("o_custkey").alias("genome"), F.col("o_orderstatus").alias("drug"), F.when(F.col("o_orderkey") % 2 == 0, "R").otherwise("S").alias("sir"))
+    return splits.make_splits(_lineages(spark, d), labels, ["F", "O"], seed=7).select("genome", "cluster", "split", "fold")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
