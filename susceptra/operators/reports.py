@@ -182,3 +182,21 @@ def _tokens(cs: str) -> Iterator[tuple[str, int]]:
             raise ValueError(f"an unsupported token at {at}")
         yield sign, int(body) if sign == ":" else 1 if sign == "*" else len(body)
         at = end
+
+
+def overrides(genomes: DataFrame, natural: DataFrame, markers: DataFrame, hits: DataFrame) -> DataFrame:
+    """JN10: (genome, drug, kind, markers) of calls that rules decide: natural resistance of a species, else strong markers found.
+
+    genomes (genome, species), natural (species, drug), markers (species, drug, pattern), hits (genome, symbol, type,
+    method, subtype). Only hits of type AMR count, and none that is tagged as mistranslated, as such a gene is likely broken. Rules meet hits by an
+    equi-join on species; the pattern is tried on those rows only. markers are distinct and sorted.
+    """
+    born = genomes.join(F.broadcast(natural) if natural.count() <= MOST_RULES else natural, "species").select("genome", "drug", F.lit("natural_resistance").alias("kind"), F.array().cast("array<string>").alias("markers")).distinct()
+    usable = hits.filter((F.col("type") == "AMR") & (mic.hit_tag(F.col("method"), F.col("subtype")) != "MISTRANSLATION")).select("genome", "symbol").distinct().join(genomes, "genome")
+    met = usable.join(F.broadcast(markers) if markers.count() <= MOST_RULES else markers, "species").filter(F.rlike("symbol", F.col("pattern")))
+    found = met.groupBy("genome", "drug").agg(F.array_sort(F.collect_set("symbol")).alias("markers")).select("genome", "drug", F.lit("strong_marker").alias("kind"), "markers")
+    return born.unionByName(found.join(born.select("genome", "drug"), ["genome", "drug"], "left_anti"))
+
+
+#: Rules are a dimension of the domain; so many are sent to every task, more are joined by a shuffle.
+MOST_RULES = 100_000

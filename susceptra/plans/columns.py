@@ -72,3 +72,18 @@ def alignment_scores(spark, d):
     two = s.select("doc_id", "target", F.col("target").alias("query"), F.lit(0).alias("qs"), quarter.alias("qe"), F.lit("+").alias("strand"), F.lit(0).alias("ts"), quarter.alias("te"), F.concat(F.lit(":"), quarter.cast("string")).alias("cs"))
     scores = reports.cs_decode(one.unionByName(two), "doc_id")
     return scores.select("doc_id", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "f1")])
+
+
+@query("""WITH h AS (SELECT DISTINCT o_custkey AS genome, p_name AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size % 3 > 0 AND p_brand <> 'Brand#7'), g AS (SELECT c_custkey AS genome, c_mktsegment AS species FROM customer),
+m(species, drug, pattern) AS (VALUES ('BUILDING', 'A', '^red'), ('BUILDING', 'N', 'ring$'), ('MACHINERY', 'A', 'blue (bolt|ring)'), ('AUTOMOBILE', 'R', '^small')), b AS (SELECT genome, 'R' AS drug FROM g WHERE species IN ('AUTOMOBILE', 'FURNITURE')),
+f AS (SELECT genome, drug, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS markers FROM h JOIN g USING (genome) JOIN m USING (species) WHERE regexp_matches(symbol, pattern) GROUP BY ALL)
+SELECT genome, drug, 'natural_resistance' AS kind, '' AS markers FROM b UNION ALL SELECT genome, drug, 'strong_marker', markers FROM f WHERE (genome, drug) NOT IN (SELECT (genome, drug) FROM b)""")
+def call_overrides(spark, d):
+    """JN10: rules of species and drugs against every customer's parts; a third is of another type, one brand is broken."""
+    o, l, p = (table(spark, d, n) for n in ("orders", "lineitem", "part"))  # noqa: E741
+    found = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    hits = found.select(F.col("o_custkey").alias("genome"), F.col("p_name").alias("symbol"), F.when(F.col("p_size") % 3 > 0, "AMR").otherwise("STRESS").alias("type"), F.when(F.col("p_brand") == "Brand#7", "INTERNAL_STOP").otherwise("EXACTX").alias("method"), F.lit("AMR").alias("subtype"))
+    genomes = table(spark, d, "customer").select(F.col("c_custkey").alias("genome"), F.col("c_mktsegment").alias("species"))
+    markers = spark.createDataFrame([("BUILDING", "A", "^red"), ("BUILDING", "N", "ring$"), ("MACHINERY", "A", "blue (bolt|ring)"), ("AUTOMOBILE", "R", "^small")], "species string, drug string, pattern string")
+    natural = spark.createDataFrame([("AUTOMOBILE", "R"), ("FURNITURE", "R")], "species string, drug string")
+    return reports.overrides(genomes, natural, markers, hits).withColumn("markers", F.array_join("markers", ","))

@@ -44,19 +44,53 @@ def write_artifact(df: DataFrame, path: str, most: int = MOST_ROWS) -> None:
     write_json([r.asDict(recursive=True) for r in rows], path)
 
 
-def release(tables: dict[str, DataFrame], root: str, version: str) -> DataFrame:
+def write_stage(df: DataFrame, path: str, rows_per_file: int | None = None) -> DataFrame:
+    """SK1: a stage's table as Parquet, never over an existing one -> the table as the next stage reads it."""
+    writer = df.write.mode("errorifexists")
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(tables: dict[str, DataFrame], root: str, version: str, pilot: bool = False) -> DataFrame:
     """SK7: the tables as Parquet under root/version, never over an existing one -> (name, n, checksum), also stored there.
 
-    The checksum is over all rows in any order, so a reader can verify it at any partitioning.
+    The checksum is over all rows in any order, so a reader can verify it at any partitioning. A pilot's results are
+    refused. The version is named in root/releases once all of it is written; `latest` reads it there.
     """
+    if pilot:
+        raise ValueError("pilot results are never released")
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
     sums = checksums(spark, root, version, list(tables))
     sums.write.mode("errorifexists").parquet(f"{root}/{version}/_checksums")
+    number = max((r.number for r in _rows(spark, f"{root}/releases", RELEASE)), default=0) + 1
+    spark.createDataFrame([(number, version)], RELEASE).coalesce(1).write.mode("append").parquet(f"{root}/releases")
     return spark.read.parquet(f"{root}/{version}/_checksums")
 
 
+RELEASE = "number long, version string"
+
+
+def latest(spark: SparkSession, root: str) -> str | None:
+    """The version released last, or None before the first."""
+    last = max(_rows(spark, f"{root}/releases", RELEASE), key=lambda r: r.number, default=None)
+    return None if last is None else last.version
+
+
+def pull(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
+    """SK7: the tables of a version (the latest by default), verified first; raises where one is not what was released."""
+    version = version or latest(spark, root)
+    if version is None:
+        raise ValueError("nothing was released")
+    if bad := [r.name for r in verify_release(spark, root, version).collect()]:
+        raise ValueError(f"checksum differs: {', '.join(sorted(bad))}")
+    names = [r.name for r in spark.read.parquet(f"{root}/{version}/_checksums").select("name").collect()]
+    return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names}
+
+
 def checksums(spark: SparkSession, root: str, version: str, names: list[str]) -> DataFrame:
     parts = []
     for name in names:
@@ -99,9 +133,13 @@ COMMIT = "number long, name string, token string"
 
 
 def _commits(spark: SparkSession, path: str) -> list:
-    """All commits, one short row each."""
+    return _rows(spark, f"{path}/commits", COMMIT)
+
+
+def _rows(spark: SparkSession, path: str, schema: str) -> list:
+    """All of a log's rows, one short row a commit or release; none where there is no log yet."""
     try:
-        return spark.read.schema(COMMIT).parquet(f"{path}/commits").collect()
+        return spark.read.schema(schema).parquet(path).collect()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return []

@@ -183,3 +183,22 @@ def test_job_transitions(spark, tmp_path):
 def test_job_deadline(spark, tmp_path):
     got = ran(spark, f"file://{tmp_path}", [events(spark, (x, "2020-01-01", "create", "A", None)) for x in "ab"], deadline_ms=1)
     assert ("a", "failed", jobs.TIMED_OUT) in {(r.job_id, r.status, r.error) for r in jobs.job_table(got).collect()}
+
+
+def test_releases_are_named_last(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    one = spark.createDataFrame([(1, "a")], "id int, s string")
+    assert sinks.latest(spark, root) is None
+    with pytest.raises(ValueError, match="pilot"):
+        sinks.release({"t": one}, root, "v0", pilot=True)
+    sinks.release({"t": one}, root, "v1")
+    sinks.release({"t": one.unionByName(one), "u": one}, root, "v2")
+    assert sinks.latest(spark, root) == "v2" and {k: v.count() for k, v in sinks.pull(spark, root).items()} == {"t": 2, "u": 1}
+    assert sinks.pull(spark, root, "v1")["t"].count() == 1
+    one.limit(0).write.mode("overwrite").parquet(f"{root}/v2/u")
+    with pytest.raises(ValueError, match="u"):
+        sinks.pull(spark, root)
+    stage = sinks.write_stage(one, f"{root}/stage")
+    assert stage.count() == 1
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_stage(one, f"{root}/stage")
