@@ -557,9 +557,12 @@ def greedy_split(spark, d):
     return greedy_test_clusters(_clusters(spark, d), seed=7)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT c_mktsegment || '_' || c_nationkey AS cluster, count(*) AS n FROM customer GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS i FROM c),
+r AS (SELECT CAST(0 AS BIGINT) AS i, [0::BIGINT, 0, 0, 0, 0] AS load, CAST(NULL AS VARCHAR) AS cluster, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS fold
+  UNION ALL SELECT o.i, list_transform(range(1, 6), lambda j: e.load[j] + CASE WHEN j = e.f THEN o.n ELSE 0 END), o.cluster, o.n, e.f - 1 FROM (SELECT *, CAST(list_position(load, list_min(load)) AS BIGINT) AS f FROM r) e JOIN o ON o.i = e.i + 1)
+SELECT cluster, n, CAST(fold AS INTEGER) AS fold FROM r WHERE i > 0""")
 def lpt_folds(spark, d):
-    """SO6."""
+    """SO6; in SQL by recursion over the clusters in order."""
     from susceptra.operators.splits import lpt_fold
 
     return lpt_fold(_clusters(spark, d), 5)
