@@ -20,7 +20,9 @@ def with_reason(df: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
 def resolve_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """AG1, AG2: rows (keys, ord, lower, upper, sir, raw) -> one row per key with lower, upper, sir, raw, n and reason.
 
-    reason is conflict_s_vs_r, conflict_gt_1_step or null; one HashAggregate, no list but of the distinct readings.
+    reason is conflict_s_vs_r, conflict_gt_1_step or null; one aggregate, which gathers a key's
+    reading texts to join the distinct ones in the order of ord: readings of one key are few. streaming/merging.py keeps bounds and
+    distinct texts only.
     """
     best = F.max(F.struct("lower", "upper", (-F.col("ord")).alias("o")))
     g = rows.groupBy(*keys).agg(

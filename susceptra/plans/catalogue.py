@@ -620,11 +620,3 @@ def training_join(spark, d):
     c = table(spark, d, "customer").join(n, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     o = table(spark, d, "orders").join(c, "o_custkey").select("o_orderkey", "c_mktsegment")
     return table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", "c_mktsegment")
-
-
-@query("SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY ALL")
-def stream_tumbling(spark, d):
-    """Extension: hourly counts by Structured Streaming over the events file."""
-    from susceptra.streaming.windows import tumbling_counts
-
-    return tumbling_counts(spark, d)

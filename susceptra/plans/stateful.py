@@ -13,6 +13,7 @@ from susceptra.plans.catalogue import FINITE, finite, query
 from susceptra.storage import materialise, shared_dir
 from susceptra.streaming import jobs, merging, sessions
 from susceptra.streaming.runs import file_stream, take_available
+from susceptra.streaming.windows import tumbling_counts
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 GRIDS = "CASE WHEN {fine} THEN [20, 30, 40, 50, 60, 70, 80, 90, 95, 98, 100] ELSE [20, 30, 40, 50, 60, 70, 80, 90, 100] END"
@@ -163,3 +164,20 @@ def kmer_sketch_u64(spark, d):
     from susceptra.operators.sketch import sketch
 
     return sketch(table(spark, d, "documents").select("doc_id", dna(F.col("text")).alias("seq")), "doc_id", "seq")
+
+
+@query("SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, d):
+    """2.12 append-only drops with resume: hourly counts of events that arrive in two drops in the order of time, each taken by a run
+    that goes on from the checkpoint; two marks far behind them, a run each, close the last windows."""
+    root = place(spark)
+    events = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    middle, last = events.agg(F.expr("percentile_approx(ts, 0.5)"), F.max("ts")).first()
+    drops = [events.filter(F.col("ts") <= F.lit(middle)), events.filter(F.col("ts") > F.lit(middle))]
+    drops += [spark.range(1).select(F.lit("mark").alias("event_type"), (F.lit(last) + F.make_dt_interval(F.lit(days))).alias("ts")) for days in (1, 2)]
+    for rows in drops:
+        rows.write.mode("append").parquet(f"{root}/in")
+        # all files of a drop in one micro-batch: within it no event is late
+        stream = file_stream(spark, f"{root}/in", "event_type string, ts timestamp", 1_000_000)
+        take_available(tumbling_counts(stream, "event_type", "ts"), f"{root}/checkpoint", f"{root}/out")
+    return spark.read.schema("event_type string, start timestamp_ntz, n long").parquet(f"{root}/out").filter("event_type <> 'mark'")

@@ -1,26 +1,17 @@
-"""Structured Streaming on the events table (an extension; batch results are the same)."""
+"""Windowed counts of a stream whose windows close, are written once, and leave the state."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from susceptra.storage import shared_dir
-
-
-def tumbling_counts(spark: SparkSession, sf_dir: str, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts per event type and window. All present data is taken in one micro-batch of complete results, kept in the shared folder."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*")
-    counts = stream.select("event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).groupBy("event_type", F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    out = f"{shared_dir(spark)}/susceptra/stream-{uuid.uuid4().hex}"
-    names = counts.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/result")
+def tumbling_counts(events: DataFrame, kind: str, at: str, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """A stream of events -> (kind, start, n) of each window, once the newest event is `late` beyond its end.
 
-    started = names.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.read.parquet(f"{out}/result")
+    Append output: a window that was written is forgotten, so the state holds only what is still open, whatever the
+    stream's length. Events that come later than that are dropped, as no window is open for them.
+    """
+    timed = events.select(kind, F.col(at).cast("timestamp").alias("at")).withWatermark("at", late)
+    counts = timed.groupBy(kind, F.window("at", every).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(kind, F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
