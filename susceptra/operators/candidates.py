@@ -38,7 +38,8 @@ def probe_placements(hits: DataFrame, references: DataFrame, queries: DataFrame,
     hits (query, probe, ref, strand, qlen, qs, qe, ts, te, matches, block), references (ref, donor, n), all whole circles,
     queries (query, length). Of a probe's hits that cover half of it the best by identity times coverage counts (ties: the
     smallest start). First and last probe must be placed with little clipped; between them they must span the observed
-    length, and what is left of the circle must be near what is missing. Ties of references go to the smallest.
+    length, and what is left of the circle must be near what is missing. Ties of references go to the smallest, then to
+    strand +; scores are compared at twelve decimals, as the last digit of a mean is that of the order in which it was summed.
     """
     size = F.col("qe") - F.col("qs")
     j = hits.join(references, "ref").withColumn("identity", F.col("matches") / F.greatest(F.lit(1), F.col("block"))).withColumn("coverage", size / F.col("qlen")).filter("coverage >= 0.5")
@@ -63,7 +64,7 @@ def probe_placements(hits: DataFrame, references: DataFrame, queries: DataFrame,
         F.col("a.identity").alias("first_identity"), F.col("b.identity").alias("last_identity"), F.col("a.coverage").alias("first_coverage"), F.col("b.coverage").alias("last_coverage"), (F.col("placed") / F.col("strands")).alias("strand_share"),
         (span / length).alias("span_ratio"), (missing / expected).alias("missing_ratio"), F.log10("length").alias("log_length"), ((F.col("a.clip") + F.col("b.clip")) / (2 * width)).alias("clip_share"))
     found = found.withColumn("score", F.col("placed_share") * F.col("mean_identity") * F.col("mean_coverage"))
-    best = F.struct(F.col("score"), -F.col("ref"), F.when(F.col("strand") == "+", 1).otherwise(0))
+    best = F.struct(F.round("score", 12), -F.col("ref"), F.when(F.col("strand") == "+", 1).otherwise(0))
     return found.groupBy("query", "donor").agg(*[F.max_by(c, best).alias(c) for c in found.columns if c not in ("query", "donor")])
 
 

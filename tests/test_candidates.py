@@ -36,3 +36,13 @@ def test_probe_chain_wraps_round(spark):
     got = candidates.probe_placements(hits, references, spark.createDataFrame([(1, length)], "query int, length int"), 4, width).collect()
     assert sorted((r.donor, r.strand, r.start % n, r.end % n, r.missing) for r in got) == [("d0", "+", 1200, 700, 500), ("d1", "-", 1200, 700, 500)]
     assert all(abs(r.score - (0.9 + 0.89 + 0.88 + 0.87) / 4) < 1e-9 and r.strand_share == 1 for r in got)
+
+
+def test_equal_scores_go_to_the_smaller_reference(spark):
+    """Both references have the same mean, of numbers whose sums differ in the last digit in whatever order they are added."""
+    matches = {0: (110, 68, 76, 91), 1: (93, 88, 67, 97)}
+    rows = [(1, p, ref, "+", 100, 0, 100, 300 * p, 300 * p + 100, m, 110) for ref, ms in matches.items() for p, m in enumerate(ms)]
+    hits = spark.createDataFrame(rows, "query int, probe int, ref int, strand string, qlen int, qs int, qe int, ts int, te int, matches int, block int")
+    references = spark.createDataFrame([(r, "d", 1500) for r in matches], "ref int, donor string, n int")
+    got = candidates.probe_placements(hits, references, spark.createDataFrame([(1, 1000)], "query int, length int"), 4, 100).collect()
+    assert [r.ref for r in got] == [0]
