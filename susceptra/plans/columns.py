@@ -67,10 +67,12 @@ def alignment_scores(spark, d):
     s = s.withColumn("n", F.length("target")).withColumn("a", F.expr("n DIV 8").cast("int"))
     text = F.col("a").cast("string")
     edited = F.concat(F.lit(":"), text, F.lit("*ag:"), text, F.lit("+cc:"), text, F.lit("-t:"), text)
-    one = s.select("doc_id", "target", F.col("target").alias("query"), F.lit(3).alias("qs"), (4 * F.col("a") + 6).alias("qe"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), F.lit(5).alias("ts"), (4 * F.col("a") + 7).alias("te"), edited.alias("cs"))
     quarter = F.expr("n DIV 4").cast("int")
-    two = s.select("doc_id", "target", F.col("target").alias("query"), F.lit(0).alias("qs"), quarter.alias("qe"), F.lit("+").alias("strand"), F.lit(0).alias("ts"), quarter.alias("te"), F.concat(F.lit(":"), quarter.cast("string")).alias("cs"))
-    scores = reports.cs_decode(one.unionByName(two), "doc_id")
+    part = lambda qs, qe, strand, ts, te, cs: F.struct(qs.alias("qs"), qe.alias("qe"), strand.alias("strand"), ts.alias("ts"), te.alias("te"), cs.alias("cs"))
+    one = part(F.lit(3), 4 * F.col("a") + 6, F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-"), F.lit(5), 4 * F.col("a") + 7, edited)
+    two = part(F.lit(0), quarter, F.lit("+"), F.lit(0), quarter, F.concat(F.lit(":"), quarter.cast("string")))
+    both = s.select("doc_id", "target", F.col("target").alias("query"), F.explode(F.array(one, two)).alias("p")).select("doc_id", "target", "query", "p.*")
+    scores = reports.cs_decode(both, "doc_id")
     return scores.select("doc_id", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "f1")])
 
 
