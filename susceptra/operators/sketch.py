@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from susceptra.storage import bounded_batches
+
 _UNKNOWN = 4
 _CODE = np.full(256, _UNKNOWN, np.uint8)
 # Two bits a base, in this order, so that 3 minus a code is its complement's.
@@ -43,11 +45,15 @@ def kmer_hashes(seq: str, k: int = 19, bits: int = 11) -> np.ndarray:
 
 def sketch(df: DataFrame, key: str, seq: str, k: int = 19, bits: int = 11) -> DataFrame:
     """(key, seq) -> (key, hash): hashes as signed longs; null sequences have none."""
+    kind = dict(df.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, s in zip(b[key], b[seq], strict=True):
-                h = kmer_hashes(s or "", k, bits)
-                yield pd.DataFrame({key: [i] * len(h), "hash": h.view(np.int64)})
-
-    return df.select(key, seq).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, hash bigint")
+            # a frame a batch: one a row costs more than its hashes
+            found = [kmer_hashes(s.as_py() or "", k, bits) for s in b.column(1)]
+            rows = np.repeat(np.arange(len(found)), [len(h) for h in found])
+            flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(flat)], [key, "hash"])
+
+    bounded_batches(df.sparkSession)
+    return df.select(key, seq).mapInArrow(run, f"{key} {kind}, hash bigint")
