@@ -2,10 +2,16 @@
 
 import pytest
 
-from susceptra.plans import catalogue, columns, stateful  # noqa: F401 (registers its queries)
+from susceptra.plans import catalogue, columns, stateful, udtfs  # noqa: F401 (registers its queries)
 
 
 @pytest.mark.parametrize(("name", "slow"), [("alignment_scores", "FlatMapGroupsInPandas"), ("kmer_sketch_u64", "MapInPandas")])
 def test_python_takes_batches(spark, sf_dir, name, slow):
     plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and slow not in plan
+
+
+@pytest.mark.parametrize("name", ["fasta_table_function", "cs_table_function"])
+def test_table_functions_make_no_frame_a_call(spark, sf_dir, name):
+    plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
