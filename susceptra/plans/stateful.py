@@ -31,14 +31,18 @@ def dna(text: Column) -> Column:
 DNA_SQL = f"translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')"
 
 
+def file_count(spark) -> int:
+    """Files of a delivery, an even number: each is written by one task, so that as many as there are cores keep all busy."""
+    return max(4, spark.sparkContext.defaultParallelism // 2 * 2)
+
+
 def drop(rows: DataFrame, path: str, key: str, files: int = 4) -> None:
     """One more delivery: files that each hold all of a key's rows."""
     rows.repartition(files, key).write.mode("append").parquet(path)
 
 
-def session_steps(spark, d) -> DataFrame:
-    """Two tries at each step of every document's session; many of the first ones are wrong in one of seven ways."""
-    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", dna(F.col("text")).alias("dna"))
+def session_steps(docs: DataFrame) -> DataFrame:
+    """Two tries at each step of every document's session (doc_id, dna); many of the first ones are wrong in one of seven ways."""
     fine = F.col("doc_id") % 2 == 1
     ints = lambda xs: F.array(*map(F.lit, xs))
     tries = docs.withColumn("grid", F.when(fine, ints((*range(20, 100, 10), 95, 98, 100))).otherwise(ints((*range(20, 100, 10), 100))))
@@ -85,14 +89,17 @@ SELECT CAST(doc_id AS VARCHAR) AS session, seq, percent, reason, CAST(length(see
 
 @query(_REPLAY_SQL)
 def stream_session(spark, d):
-    """2.12 session schedule, DQ10, ML12: three drops in micro-batches of two files; the stream is ended and started again before the third."""
-    root = place(spark)
-    steps = materialise(session_steps(spark, d), "steps")
-    run = lambda: take_available(sessions.answered(file_stream(spark, f"{root}/in", sessions.STEPS, 2)), f"{root}/checkpoint", f"{root}/out")
-    drop(steps.filter("seq < 6"), f"{root}/in", "session")
-    drop(steps.filter("seq BETWEEN 6 AND 11"), f"{root}/in", "session")
+    """2.12 session schedule, DQ10, ML12: three drops in micro-batches of half a drop's files; the stream is ended and started again before the third."""
+    root, files = place(spark), file_count(spark)
+    docs = materialise(table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", dna(F.col("text")).alias("dna")), "dna")
+    # sequences are dealt out before they become steps, which are many times as long: a file has all steps of its documents
+    steps = session_steps(docs.repartition(files, "doc_id"))
+    send = lambda part: steps.filter(part).write.mode("append").parquet(f"{root}/in")
+    run = lambda: take_available(sessions.answered(file_stream(spark, f"{root}/in", sessions.STEPS, files // 2)), f"{root}/checkpoint", f"{root}/out")
+    send("seq < 6")
+    send("seq BETWEEN 6 AND 11")
     run()
-    drop(steps.filter("seq > 11"), f"{root}/in", "session")
+    send("seq > 11")
     run()
     out = spark.read.schema(sessions.ANSWERS).parquet(f"{root}/out")
     return out.select("session", "seq", "percent", "reason", "bases", "chain", (F.floor(F.col("ratio") * 1e6 + 0.5) / 1e6).alias("ratio"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor
 
 from susceptra.operators.sketch import kmer_hashes
@@ -15,6 +14,7 @@ from susceptra.operators.validate import FINE_GRID, GRID
 STEPS = "session string, seq long, species string, percent int, fine boolean, observed string, completed string"
 ANSWERS = "session string, seq long, percent int, reason string, bases long, chain string, jaccard double, ratio double"
 STATE = "species string, percent int, fine boolean, bases long, sha256 string, chain string, guess string, guess_fits boolean, seq long"
+_ANSWER = Row(*(x.split()[0] for x in ANSWERS.split(", ")))
 #: A session may start here.
 STARTS = (20, 100)
 
@@ -65,14 +65,14 @@ class Schedule(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.state = handle, handle.getValueState("session", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         # a session has at most as many steps as its schedule, and their repeats
-        steps = pd.concat(list(rows)).sort_values(["seq", "percent"], kind="stable")
+        steps = sorted(rows, key=lambda r: (r.seq is None, r.seq or 0, r.percent is None, r.percent or 0))
         names = [x.split()[0] for x in STATE.split(", ")]
         held = self.state.get()
         old = dict(zip(names, held, strict=True)) if held else None
         before, answers = old, []
-        for step in steps.itertuples(index=False):
+        for step in steps:
             reason, seen, ratio = refusal(step, old), -1.0, 0.0
             if reason is None:
                 bases = old["bases"] if old else 0
@@ -80,20 +80,20 @@ class Schedule(StatefulProcessor):
                 own, n, whole = digest(step.observed), len(step.observed), step.completed
                 old = {"species": step.species, "percent": int(step.percent), "fine": bool(step.fine), "bases": n, "sha256": own, "chain": digest((old["chain"] if old else "") + own),
                        "guess": None if whole is None else whole[n:], "guess_fits": whole is None or whole[:n] == step.observed, "seq": int(step.seq)}
-            answers.append((key[0], step.seq, step.percent, reason, old["bases"] if old else 0, old["chain"] if old else "", seen, ratio))
+            answers.append(_ANSWER(key[0], step.seq, step.percent, reason, old["bases"] if old else 0, old["chain"] if old else "", seen, ratio))
         if old is not before:
             self.state.update(tuple(old[n] for n in names))
             if self.idle_ms is not None:
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(answers, columns=[x.split()[0] for x in ANSWERS.split(", ")])
+        yield from answers
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         if self.state.exists():
             old = dict(zip([x.split()[0] for x in STATE.split(", ")], self.state.get(), strict=True))
             self.state.clear()
-            yield pd.DataFrame([(key[0], old["seq"], old["percent"], "session_given_up", old["bases"], old["chain"], -1.0, 0.0)], columns=[x.split()[0] for x in ANSWERS.split(", ")])
+            yield _ANSWER(key[0], old["seq"], old["percent"], "session_given_up", old["bases"], old["chain"], -1.0, 0.0)
 
     def close(self) -> None:
         pass
@@ -106,4 +106,4 @@ def answered(steps: DataFrame, idle_ms: int | None = None) -> DataFrame:
     micro-batch, and in the order of micro-batches.
     """
     plain = steps.selectExpr("session", "seq", "species", "percent", "coalesce(fine, false) AS fine", "coalesce(observed, '') AS observed", "completed")
-    return plain.groupBy("session").transformWithStateInPandas(Schedule(idle_ms), ANSWERS, "Append", "None" if idle_ms is None else "ProcessingTime")
+    return plain.groupBy("session").transformWithState(Schedule(idle_ms), ANSWERS, "Append", "None" if idle_ms is None else "ProcessingTime")

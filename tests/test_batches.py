@@ -15,3 +15,10 @@ def test_python_takes_batches(spark, sf_dir, name, slow):
 def test_table_functions_make_no_frame_a_call(spark, sf_dir, name):
     plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
+def test_deliveries_have_a_file_a_core():
+    from types import SimpleNamespace
+
+    cluster = lambda cores: SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=cores))
+    assert [stateful.file_count(cluster(n)) for n in (1, 8, 13)] == [4, 8, 12]
