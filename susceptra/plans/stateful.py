@@ -132,7 +132,7 @@ j AS (SELECT 'j' || o_orderkey AS job_id, CASE WHEN ends AND fails THEN 'failed'
 SELECT * FROM j UNION ALL SELECT 'unknown ' || o_orderkey, 'refused', NULL, 'unknown_job', NULL FROM o WHERE o_orderkey % 97 = 0""")
 def stream_jobs(spark, d):
     """2.12 job lifecycle, SO3's table: orders as jobs. A tenth comes from an earlier run, whose unfinished jobs fail at the restart."""
-    root = place(spark)
+    root, files = place(spark), file_count(spark)
     o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("j"), F.col("o_orderkey").cast("string")).alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderpriority").alias("sample"), (F.col("o_orderkey") % 10 == 3).alias("earlier"), (F.col("o_orderkey") % 7 > 0).alias("runs"), (F.col("o_orderstatus") != "O").alias("ends"), (F.col("o_orderkey") % 5 == 0).alias("fails"))
     step = F.col("o_orderkey") % 3
     null = F.lit(None).cast("string")
@@ -145,11 +145,11 @@ def stream_jobs(spark, d):
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    run = lambda: take_available(jobs.changes(file_stream(spark, f"{root}/in", jobs.EVENTS, 2), earlier), f"{root}/checkpoint", mode="update", each=keep)
-    drop(made, f"{root}/in", "job_id", 2)
-    drop(run_, f"{root}/in", "job_id", 2)
+    run = lambda: take_available(jobs.changes(file_stream(spark, f"{root}/in", jobs.EVENTS, files), earlier), f"{root}/checkpoint", mode="update", each=keep)
+    drop(made, f"{root}/in", "job_id", files)
+    drop(run_, f"{root}/in", "job_id", files)
     run()
-    drop(ended, f"{root}/in", "job_id", 2)
+    drop(ended, f"{root}/in", "job_id", files)
     run()
     out = spark.read.schema(jobs.CHANGES).parquet(f"{root}/out").drop("batch")
     refused = out.filter("step IS NULL").select("job_id", F.lit("refused").alias("status"), "sample_id", "error", "step")

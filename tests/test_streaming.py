@@ -185,6 +185,41 @@ def test_job_deadline(spark, tmp_path):
     assert ("a", "failed", jobs.TIMED_OUT) in {(r.job_id, r.status, r.error) for r in jobs.job_table(got).collect()}
 
 
+def test_a_group_of_jobs_is_one_value_of_the_state():
+    """However many jobs of a group a micro-batch touches, the state is asked once and told once."""
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def registerTimer(self, _):  # noqa: N802
+            calls.append("timer")
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return 5
+
+    handle, life = Handle(), jobs.Lifecycle(deadline_ms=10)
+    life.init(handle)
+    frame = lambda at, kind: pd.DataFrame({"job_id": [f"j{i}" for i in range(1000)], "at": at, "kind": kind, "sample_id": "s", "payload": None})
+    made = pd.concat(life.handleInputRows((0,), iter([frame(1, "create")]), handle))
+    ran_ = pd.concat(life.handleInputRows((0,), iter([frame(2, "run")]), handle))
+    assert (len(made), set(made.status), len(ran_), set(ran_.status), set(ran_.step)) == (1000, {"queued"}, 1000, {"running"}, {2})
+    assert calls == ["get", "timer", "update", "get", "update"]
+
+
 def test_releases_are_named_last(spark, tmp_path):
     root = f"file://{tmp_path}/r"
     one = spark.createDataFrame([(1, "a")], "id int, s string")
