@@ -111,16 +111,16 @@ _LATE_SQL = B.READINGS_SQL.replace("FROM audited WHERE reason IS NULL", "FROM au
 @query(f"WITH {_LATE_SQL} SELECT genome_id, drug, lower AS mic_lower, {FINITE} AS mic_upper, sir, n, reason FROM resolved")
 def stream_dedup_state(spark, d):
     """2.12 late merging, AG1, AG2, SK6: readings out of order, some twice, every thirteenth taken back, partly before it comes."""
-    root, keys = place(spark), ["genome_id", "drug"]
+    root, files, keys = place(spark), file_count(spark), ["genome_id", "drug"]
     rows = B.intervals(spark, d).select(*keys, F.col("ord").alias("at"), "lower", "upper", "sir", "raw", F.lit(False).alias("retracted"))
     rows = materialise(rows, "readings")
     back = rows.filter("at % 13 = 0").withColumn("retracted", F.lit(True))
     schema = rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-    run = lambda: merging.follow(file_stream(spark, f"{root}/in", schema, 2), keys, f"{root}/table", f"{root}/checkpoint")
-    drop(rows.filter("at * 7 % 3 = 2").unionByName(back.filter("at % 2 = 0")), f"{root}/in", "genome_id", 2)
-    drop(rows.filter("at * 7 % 3 = 0 OR at % 5 = 0"), f"{root}/in", "at", 2)
+    run = lambda: merging.follow(file_stream(spark, f"{root}/in", schema, files), keys, f"{root}/table", f"{root}/checkpoint")
+    drop(rows.filter("at * 7 % 3 = 2").unionByName(back.filter("at % 2 = 0")), f"{root}/in", "genome_id", files)
+    drop(rows.filter("at * 7 % 3 = 0 OR at % 5 = 0"), f"{root}/in", "at", files)
     run()
-    drop(rows.filter("at * 7 % 3 = 1").unionByName(back), f"{root}/in", "at", 2)
+    drop(rows.filter("at * 7 % 3 = 1").unionByName(back), f"{root}/in", "at", files)
     run()
     return merging.labels(spark, f"{root}/table").select(*keys, F.col("lower").alias("mic_lower"), finite("upper").alias("mic_upper"), "sir", "n", "reason")
 

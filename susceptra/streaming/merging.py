@@ -6,14 +6,17 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from susceptra.sources import sinks
 from susceptra.streaming.runs import take_available
 
-READING = "lower double, upper double, sir string, raw string, retracted boolean"
+#: Keys are dealt into so many groups, a group's readings into so many values of the state. Both are part of a checkpoint.
+GROUPS, CHUNKS = 1024, 16
 MERGED = "lower double, upper double, sir string, raw string, n long, reason string"
 
 
@@ -43,45 +46,70 @@ class Readings:
 
 
 class Merger(StatefulProcessor):
-    """A map of a key's readings by id. A retraction stays as a mark, so it also holds against its reading coming later.
+    """The readings of a group of keys. A retraction stays as a mark, so it also holds against its reading coming later.
 
-    The map is in RocksDB and is read through, not loaded, once in each micro-batch that touches the key; what is held
-    meanwhile is bounds, flags and the distinct raw texts.
+    A group's readings lie in RocksDB in CHUNKS values, dealt by id. A micro-batch asks for a chunk once for each frame of
+    rows and tells it once, not for each reading; then the chunks are read through for the keys it touches. What is held
+    meanwhile is one chunk, and bounds, flags and the distinct raw texts of those keys.
     """
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-
     def init(self, handle) -> None:
-        self.readings = handle.getMapState("readings", "at long", READING)
+        self.readings = handle.getMapState("readings", "chunk long", "readings binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         plain = lambda x: None if x is None or x != x else x
+        folds: dict[str, Readings] = {}
         for part in rows:
-            for r in part.itertuples(index=False):
-                old = self.readings.getValue((r.at,))
-                if old is None or r.retracted and not old[4]:
-                    self.readings.updateValue((r.at,), (r.lower, r.upper, plain(r.sir), plain(r.raw), bool(r.retracted)))
-        fold = Readings()
-        for (at,), (lower, upper, sir, raw, retracted) in self.readings.iterator():
-            if not retracted:
-                fold.add(at, lower, upper, sir, raw)
-        yield pd.DataFrame([(*key, *fold.merged())], columns=[*self.keys, *(x.split()[0] for x in MERGED.split(", "))]).astype({"lower": float, "upper": float})
+            dealt: dict[int, list[tuple]] = {}
+            for k, at, lower, upper, sir, raw, retracted in zip(*(part[c].tolist() for c in _HELD.names), strict=True):
+                folds.setdefault(k, Readings())
+                dealt.setdefault(at % CHUNKS, []).append(((k, at), (lower, upper, plain(sir), plain(raw), bool(retracted))))
+            for chunk, came in dealt.items():
+                held = self.readings.getValue((chunk,))
+                known = {} if held is None else _unpacked(held[0])
+                for at, reading in came:
+                    old = known.get(at)
+                    if old is None or reading[4] and not old[4]:
+                        known[at] = reading
+                self.readings.updateValue((chunk,), (_packed(known),))
+        for _, (held,) in self.readings.iterator():
+            for (k, at), (lower, upper, sir, raw, retracted) in _unpacked(held).items():
+                if not retracted and k in folds:
+                    folds[k].add(at, lower, upper, sir, raw)
+        yield pd.DataFrame([(k, *fold.merged()) for k, fold in folds.items()], columns=["key", *(x.split()[0] for x in MERGED.split(", "))]).astype({"lower": float, "upper": float})
 
     def close(self) -> None:
         pass
 
 
+_HELD = pa.schema([("key", pa.string()), ("at", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64()), ("sir", pa.string()), ("raw", pa.string()), ("retracted", pa.bool_())])
+
+
+def _packed(readings: dict[tuple, tuple]) -> bytes:
+    columns = zip(*((*k, *r) for k, r in readings.items()), strict=True)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _HELD) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _HELD.types, strict=True)], schema=_HELD))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes) -> dict[tuple, tuple]:
+    rows = zip(*(c.to_pylist() for c in pa.ipc.open_stream(held).read_all().columns), strict=True)
+    return {r[:2]: r[2:] for r in rows}
+
+
 def merged(readings: DataFrame, keys: list[str]) -> DataFrame:
     """2.12 late merging: a stream of readings (keys, at, lower, upper, sir, raw, retracted) -> the key's new row, each time it changes.
 
     at is a reading's id: one that comes again changes nothing. The last row of a key is what resolve_duplicates makes of
     all its readings, whatever the order and the batches they came in; n = 0 says that all were taken back.
     """
-    schema = StructType([readings.schema[k] for k in keys])
-    for field in StructType.fromDDL(MERGED):
-        schema = schema.add(field)
-    return readings.groupBy(*keys).transformWithStateInPandas(Merger(keys), schema, "Update", "None")
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = readings.select(key.alias("key"), "at", "lower", "upper", "sir", "raw", F.coalesce("retracted", F.lit(False)).alias("retracted"))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS))).groupBy("group")
+    out = rows.transformWithStateInPandas(Merger(), f"key string, {MERGED}", "Update", "None")
+    own = F.from_json("key", StructType([readings.schema[k] for k in keys]))
+    return out.withColumn("key", own).select("key.*", *(x.split()[0] for x in MERGED.split(", ")))
 
 
 def follow(readings: DataFrame, keys: list[str], table: str, checkpoint: str) -> None:

@@ -136,6 +136,36 @@ def test_late_readings_in_any_order(spark, tmp_path):
     assert sinks.current(spark, f"{place}/table").count() == 60
 
 
+def test_readings_of_a_group_are_few_values_of_the_state():
+    """A frame of rows asks for a chunk of the state once and tells it once, however many readings and keys it has."""
+    import pandas as pd
+
+    held, calls = {}, []
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return self
+
+        def getValue(self, key):  # noqa: N802
+            calls.append(key)
+            return held.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append(key)
+            held[key] = value
+
+        def iterator(self):
+            return iter(held.items())
+
+    merger = merging.Merger()
+    merger.init(Handle())
+    frame = pd.DataFrame({"key": [f"k{i % 100}" for i in range(2000)], "at": range(2000), "lower": 1.0, "upper": 2.0, "sir": None, "raw": "=2", "retracted": False})
+    got = pd.concat(merger.handleInputRows((0,), iter([frame]), None))
+    assert (len(got), set(got.n), set(got.raw)) == (100, {20}, {"=2"}) and len(calls) == 2 * merging.CHUNKS
+    got = pd.concat(merger.handleInputRows((0,), iter([frame.head(1).assign(retracted=True)]), None))
+    assert [(r.key, r.n) for r in got.itertuples()] == [("k0", 19)]
+
+
 def test_upsert_survives_a_crash_and_a_repeat(spark, tmp_path):
     place = f"file://{tmp_path}/t"
     row = lambda *r: spark.createDataFrame([r], "id long, v long")
