@@ -13,7 +13,7 @@ def test_shares_grow_in_number_not_in_size(spark, monkeypatch):
         assert len(shares) == n // 100 and sum(shares) == n and max(shares) < 200
 
 
-@pytest.mark.parametrize("name", ["interval_union_coverage"])
+@pytest.mark.parametrize("name", ["interval_union_coverage", "score_released_model"])
 def test_queries_deal_their_rows(spark, sf_dir, name):
     plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
