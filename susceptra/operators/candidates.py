@@ -1,7 +1,8 @@
 """Candidate placements of a partial circular sequence on donors: probe chains, anchored ends, rescue by expected length.
 
 Places are numbers on a circle of n bases, so all differences are taken modulo n. Hits are rows; what is compared pairwise
-is bounded by rank (twelve anchors an end) or found by an equi-join on bins of the circle.
+is bounded by rank (twelve anchors an end) or found by an equi-join on bins of the circle. Groups of up to PACKED hits are
+one row with an array of them, so they are shuffled once; larger groups stay rows throughout.
 """
 
 from __future__ import annotations
@@ -11,8 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from susceptra.operators.relational import interval_coverage, top_per_group
+from susceptra.storage import let, materialise
 
 ANCHORS, RESCUE_ANCHORS, PER_DONOR, MOST_OPTIONS = 12, 2, 3, 20
+#: Hits of a (query, donor, strand) that are held in one row at most.
+PACKED = 64
+GROUP = ["query", "donor", "strand"]
+FACTS = ["n", "length", "percent", "containment", "expected", "max_clip", "reach"]
+QUALITY = ["covered", "weighted", "full_size", "full_identity"]
 #: Names of ML9's numbers in order.
 FEATURES = ("share", "containment", "coverage", "identity", "full_share", "full_identity", "left_identity", "right_identity", "left_clip", "right_clip", "left_share", "right_share", "missing_ratio", "size_ratio", "options", "log_length", "support")
 
@@ -77,31 +84,16 @@ def anchored(hits: DataFrame, panel: DataFrame, queries: DataFrame, rescue: bool
     in step with it. Three options a donor and strand stay. With rescue, two anchors of either end are also tried with the
     missing length that the given share implies. Equal scores are in the order of start and end.
     """
-    group = ["query", "donor", "strand"]
-    j = hits.join(panel, ["query", "donor"]).join(queries, "query")
-    length = F.col("length")
+    group, length, n = GROUP, F.col("length"), F.col("n")
     expected = length * (100 - F.col("percent")) / F.col("percent")
-    j = j.withColumn("expected", expected).withColumn("max_clip", F.least(F.lit(most_clip), F.greatest(F.lit(least_clip), F.col("expected") * 0.20))).withColumn("reach", F.greatest(F.lit(drift), 0.15 * length))
-    facts = ["n", "length", "percent", "containment", "expected", "max_clip", "reach"]
-    right_gap, size = length - F.col("qe"), F.col("qe") - F.col("qs")
-    partial = j.filter("part <> 'full'")
-    last = [F.col("identity").desc(), size.desc(), F.col("ts"), F.col("te")]
-    side = lambda gap, k: top_per_group(partial.filter(gap <= F.col("max_clip")), group, k, gap, *last)
-    left, right = side(F.col("qs"), ANCHORS), side(right_gap, ANCHORS)
-    hit = F.struct("qs", "qe", "ts", "te", "identity")
-    pairs = left.select(*group, *facts, hit.alias("a")).join(right.select(*group, hit.alias("b")), group)
-    n = F.col("n")
-    start, end = F.pmod(F.col("a.ts") - F.col("a.qs"), n), F.pmod(F.col("b.te") + length - F.col("b.qe"), n)
-    pairs = pairs.withColumn("start", start).withColumn("end", end).withColumn("span", F.pmod(F.col("end") - F.col("start"), n)).withColumn("missing", F.pmod(F.col("start") - F.col("end"), n))
-    pairs = pairs.filter((F.col("missing") > 0) & F.col("span").between(0.5 * length, 1.5 * length) & F.col("missing").between(0.05 * F.col("expected"), 4 * F.col("expected")))
-    # hits in step: what is coherent depends on start and end alone, and is found once for each
-    ends = pairs.select(*group, "n", "reach", "max_clip", "start", "end", "span").distinct()
-    phased = j.select(*group, "n", "reach", "part", "qs", "qe", "ts", "identity").withColumn("phase", F.pmod(F.col("ts") - F.col("qs"), n))
-    met = band_join_on_circle(ends, phased, group, "start", "phase", "n", "reach")
-    relative = F.pmod(F.col("ts") - F.col("start"), n)
-    met = met.filter((relative <= F.col("span") + F.col("max_clip")) & (F.abs(relative - F.col("qs")) <= F.col("reach")))
-    quality = _quality(met, [*group, "start", "end"])
-    options = pairs.join(quality, [*group, "start", "end"], "left").fillna(0.0, ["covered", "weighted", "full_size", "full_identity"])
+    facts = panel.join(queries, "query").withColumn("expected", expected).withColumn("max_clip", F.least(F.lit(most_clip), F.greatest(F.lit(least_clip), F.col("expected") * 0.20))).withColumn("reach", F.greatest(F.lit(drift), 0.15 * length)).select("query", "donor", *FACTS)
+    hits = materialise(hits.select(*group, "part", "qs", "qe", "ts", "te", "identity"), "hits")
+    crowded = materialise(hits.groupBy(*group).agg(F.count(F.lit(1)).alias("hits__")).filter(F.col("hits__") > PACKED).select(*group), "crowded-groups")
+    if crowded.isEmpty():
+        options, anchors = _packed(hits, facts)
+    else:
+        parts = zip(_packed(hits.join(crowded, group, "left_anti"), facts), _unpacked(hits.join(crowded, group, "left_semi"), facts), strict=True)
+        options, anchors = (one.unionByName(two) for one, two in parts)
     a_size, b_size = F.col("a.qe") - F.col("a.qs"), F.col("b.qe") - F.col("b.qs")
     options = options.select(*group, F.lit("anchored").alias("method"), "start", "end", "missing", *_features(
         F.col("a.identity"), F.col("b.identity"), F.col("a.qs") / F.greatest(F.lit(1.0), F.col("expected")), (length - F.col("b.qe")) / F.greatest(F.lit(1.0), F.col("expected")), a_size / length, b_size / length,
@@ -114,12 +106,12 @@ def anchored(hits: DataFrame, panel: DataFrame, queries: DataFrame, rescue: bool
     found = top_per_group(options.withColumn("options", count), group, PER_DONOR, F.col("score").desc(), F.col("start"), F.col("end")).drop("rank")
     if not rescue:
         return _ranked(found)
-    every = _quality(j.select(*group, "part", "qs", "qe", "identity"), group)
     counted = options.groupBy(*group).agg((F.least(F.count(F.lit(1)), F.lit(MOST_OPTIONS)) / MOST_OPTIONS).alias("n_options"))
     guessed = F.bround("expected").cast("long")
     tried = []
-    for name, anchors in (("right", right), ("left", left)):
-        t = anchors.filter(F.col("rank") <= RESCUE_ANCHORS).withColumn("missing", guessed).filter(F.col("missing") < n).join(every, group, "left").join(counted, group, "left")
+    right_gap, size = length - F.col("qe"), F.col("qe") - F.col("qs")
+    for name in ("right", "left"):
+        t = anchors.filter(F.col("side") == name).withColumn("missing", guessed).filter(F.col("missing") < n).join(counted, group, "left")
         is_left = name == "left"
         end = F.pmod(F.pmod(F.col("ts") - F.col("qs"), n) - F.col("missing"), n) if is_left else F.pmod(F.col("te") + length - F.col("qe"), n)
         start = F.pmod(F.col("ts") - F.col("qs"), n) if is_left else F.pmod(F.pmod(F.col("te") + length - F.col("qe"), n) + F.col("missing"), n)
@@ -130,6 +122,78 @@ def anchored(hits: DataFrame, panel: DataFrame, queries: DataFrame, rescue: bool
     return _ranked(found.unionByName(tried[0]).unionByName(tried[1]))
 
 
+def _placed(pairs: DataFrame) -> DataFrame:
+    """Pairs of anchors a and b plus the start, end, span and missing that they imply, where those fit the lengths."""
+    n, length, expected = F.col("n"), F.col("length"), F.col("expected")
+    start, end = F.pmod(F.col("a.ts") - F.col("a.qs"), n), F.pmod(F.col("b.te") + length - F.col("b.qe"), n)
+    placed = pairs.withColumn("start", start).withColumn("end", end).withColumn("span", F.pmod(F.col("end") - F.col("start"), n)).withColumn("missing", F.pmod(F.col("start") - F.col("end"), n))
+    return placed.filter((F.col("missing") > 0) & F.col("span").between(0.5 * length, 1.5 * length) & F.col("missing").between(0.05 * expected, 4 * expected))
+
+
+def _packed(hits: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(options with QUALITY, anchors for the rescue with side, rank and the group's QUALITY), each group's hits being one array."""
+    hit = F.struct("part", "qs", "qe", "ts", "te", "identity")
+    held = hits.join(facts, ["query", "donor"]).groupBy(*GROUP, *FACTS).agg(F.collect_list(hit).alias("hits"))
+
+    def side(gap) -> Column:
+        near = F.filter("hits", lambda h: (h.part != "full") & (gap(h) <= F.col("max_clip")))
+        keyed = F.transform(near, lambda h: F.struct(gap(h).alias("gap"), h.identity.isNull(), -h.identity, (h.qs - h.qe).alias("size"), h.ts, h.te, h.dropFields("part").alias("hit")))
+        return F.transform(F.slice(F.array_sort(keyed), 1, ANCHORS), lambda k: k.hit)
+
+    held = held.withColumn("left", side(lambda h: h.qs)).withColumn("right", side(lambda h: F.col("length") - h.qe)).withColumn("every", _array_quality(F.col("hits")))
+    few = lambda s: F.transform(F.slice(s, 1, RESCUE_ANCHORS), lambda h, i: h.withField("side", F.lit(s)).withField("rank", i + 1))
+    held = materialise(held.withColumn("anchors", F.concat(few("left"), few("right"))), "groups")
+    pairs = held.select(*GROUP, *FACTS, "hits", "right", F.explode("left").alias("a")).select(*GROUP, *FACTS, "hits", "a", F.explode("right").alias("b"))
+
+    def in_step(h) -> Column:
+        relative = F.pmod(h.ts - F.col("start"), F.col("n"))
+        return (relative <= F.col("span") + F.col("max_clip")) & (F.abs(relative - h.qs) <= F.col("reach"))
+
+    options = _placed(pairs).withColumn("quality", _array_quality(F.filter("hits", in_step)))
+    anchors = held.select(*GROUP, *FACTS, "every", F.explode("anchors").alias("h")).select(*GROUP, *FACTS, "every.*", "h.*")
+    return options.select(*GROUP, *FACTS, "a", "b", "start", "end", "missing", "quality.*"), anchors
+
+
+def _array_quality(hits: Column) -> Column:
+    """_quality of an array of hits, as a struct."""
+
+    def of(h: Column) -> Column:
+        points = F.array_sort(F.array_distinct(F.flatten(F.transform(h, lambda x: F.array(x.qs, x.qe)))))
+        cuts = let(points, lambda p: F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda q, i: F.struct(F.get(p, i).alias("p"), q.alias("q"))))
+        inside = F.transform(cuts, lambda c: F.struct((c.q - c.p).alias("size"), F.transform(F.filter(h, lambda x: (x.qs <= c.p) & (x.qe >= c.q)), lambda x: x.identity).alias("w")))
+        add = lambda value: F.aggregate(inside, F.lit(0.0), lambda acc, c: acc + F.when(F.size(c.w) > 0, F.coalesce(value(c).cast("double"), F.lit(0.0))).otherwise(0.0))
+        longest = F.array_max(F.transform(F.filter(h, lambda x: x.part == "full"), lambda x: F.struct((x.qe - x.qs).alias("size"), x.identity.alias("identity"))))
+        zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+        return F.struct(add(lambda c: c.size).alias("covered"), add(lambda c: c.size * F.array_max(c.w)).alias("weighted"), zero(longest["size"]).alias("full_size"), zero(longest["identity"]).alias("full_identity"))
+
+    return let(hits, of)
+
+
+def _unpacked(hits: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What _packed returns, for groups of any size: hits stay rows, and meet by joins."""
+    group = GROUP
+    j = hits.join(facts, ["query", "donor"])
+    size = F.col("qe") - F.col("qs")
+    partial = j.filter("part <> 'full'")
+    last = [F.col("identity").desc(), size.desc(), F.col("ts"), F.col("te")]
+    side = lambda gap, k: top_per_group(partial.filter(gap <= F.col("max_clip")), group, k, gap, *last)
+    left, right = side(F.col("qs"), ANCHORS), side(F.col("length") - F.col("qe"), ANCHORS)
+    hit = F.struct("qs", "qe", "ts", "te", "identity")
+    pairs = _placed(left.select(*group, *FACTS, hit.alias("a")).join(right.select(*group, hit.alias("b")), group))
+    # hits in step: what is coherent depends on start and end alone, and is found once for each
+    ends = pairs.select(*group, "n", "reach", "max_clip", "start", "end", "span").distinct()
+    phased = j.select(*group, "n", "reach", "part", "qs", "qe", "ts", "identity").withColumn("phase", F.pmod(F.col("ts") - F.col("qs"), F.col("n")))
+    met = band_join_on_circle(ends, phased, group, "start", "phase", "n", "reach")
+    relative = F.pmod(F.col("ts") - F.col("start"), F.col("n"))
+    met = met.filter((relative <= F.col("span") + F.col("max_clip")) & (F.abs(relative - F.col("qs")) <= F.col("reach")))
+    options = pairs.join(_quality(met, [*group, "start", "end"]), [*group, "start", "end"], "left").fillna(0.0, QUALITY)
+    every = _quality(j.select(*group, "part", "qs", "qe", "identity"), group)
+    few = lambda t, name: t.filter(F.col("rank") <= RESCUE_ANCHORS).withColumn("side", F.lit(name))
+    anchors = few(left, "left").unionByName(few(right, "right")).join(every, group, "left")
+    anchors = anchors.select(*group, *FACTS, *QUALITY, "side", "rank", "qs", "qe", "ts", "te", "identity")
+    return options.select(*group, *FACTS, "a", "b", "start", "end", "missing", *QUALITY), anchors
+
+
 def _quality(hits: DataFrame, keys: list[str]) -> DataFrame:
     """AG30 per key: covered bases, the identity summed over them (the best hit's), and size and identity of the longest full hit."""
     packed = hits.withColumn("key__", F.struct(*keys))

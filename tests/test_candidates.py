@@ -5,6 +5,7 @@ import random
 import pytest
 
 from susceptra.operators import candidates
+from susceptra.plans import catalogue, placing  # noqa: F401 (registers its queries)
 
 
 @pytest.mark.parametrize(("n", "within"), [(1000, 37), (100, 60), (7, 3), (5000, 1), (90, 30)])
@@ -46,3 +47,28 @@ def test_equal_scores_go_to_the_smaller_reference(spark):
     references = spark.createDataFrame([(r, "d", 1500) for r in matches], "ref int, donor string, n int")
     got = candidates.probe_placements(hits, references, spark.createDataFrame([(1, 1000)], "query int, length int"), 4, 100).collect()
     assert [r.ref for r in got] == [0]
+
+
+@pytest.mark.parametrize("most", [0, 6])
+def test_packed_groups_are_anchored_as_rows_are(spark, monkeypatch, most):
+    """Groups of up to PACKED hits are arrays, larger ones rows; what is found must not depend on which."""
+    rng, rows = random.Random(4), []
+    for query in range(12):
+        for _ in range(rng.randrange(1, 40)):
+            qs = rng.randrange(2500)
+            qe = qs + rng.randrange(200, 500)
+            ts = rng.randrange(5000) if rng.random() < 0.3 else (query * 131 + qs + rng.randrange(60)) % 5000
+            rows.append((query, "d", rng.choice("+-"), rng.choice(("left", "right", "full")), qs, qe, ts, ts + qe - qs + rng.randrange(3), None if rng.random() < 0.05 else rng.randrange(80, 99) / 100))
+    hits = spark.createDataFrame(rows, "query int, donor string, strand string, part string, qs long, qe long, ts long, te long, identity double")
+    panel = spark.createDataFrame([(q, "d", 5000, 0.5) for q in range(12)], "query int, donor string, n long, containment double")
+    queries = spark.createDataFrame([(q, 3000, 60) for q in range(12)], "query int, length long, percent int")
+    run = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in candidates.anchored(hits, panel, queries, least_clip=300, drift=120).collect())
+    packed = run()
+    monkeypatch.setattr(candidates, "PACKED", most)
+    assert run() == packed and len(packed) > 20 and any("anchored" in r for r in packed)
+
+
+def test_hits_are_made_and_shuffled_once(spark, sf_dir):
+    """The plan that is left reads groups, not the tables that hits are made of, once for each of its branches."""
+    plan = catalogue.queries()["anchored_candidates"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "bin__" not in plan
