@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from susceptra.functions import mic
 from susceptra.ml import linear, selection
 from susceptra.operators.relational import conformal_fit
-from susceptra.storage import materialise
+from susceptra.storage import dealt, materialise
 
 #: The model that holds no fold out.
 FINAL = -1
@@ -86,12 +86,19 @@ def features(genomes: DataFrame, known: DataFrame, wide: DataFrame, columns: Dat
     return packed.select("genome", F.col("p.index").alias("index"), F.col("p.value").alias("value"))
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table, read in shares by genome: what is made of it neither makes its rows again nor sorts many in one task."""
+    table = materialise(df, label)
+    return dealt(table, table.count(), "genome")
+
+
 def cross_validate(data: Inputs, options: Options = Options()) -> Fitted:
     """ML4: a model without each fold, all in the same passes, then the final one for as many steps as they took in the median.
 
     Columns are chosen and weights fitted without the fold that a model is tested on. Labels with a null bound are not read.
     """
     spark = data.genomes.sparkSession
+    data = replace(data, **{name: _written(getattr(data, name), name) for name in ("known", "wide", "labels")})
     drugs = [r.drug for r in data.labels.select("drug").filter("drug is not null").distinct().orderBy("drug").limit(MOST_COLUMNS).collect()]
     chosen = materialise(chosen_columns(data, options), "chosen")
     keys = ["kind", "species", "column"]

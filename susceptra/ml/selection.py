@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from susceptra.storage import materialise
+
 
 def _without(cells: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """cells (fold, keys, sums) -> (held, keys, sums): for each fold the sums over all other folds, and for -1 those over all.
 
-    Each cell goes to its keys' total and, negated, to the fold that holds it out; keys are few against rows.
+    Each cell goes to its keys' total and, negated, to the fold that holds it out; keys are few against rows. The cells are
+    written, as they are read three times and what they are summed from is long.
     """
+    cells = materialise(cells, "cells")
     folds = cells.groupBy().agg(F.array_union(F.sort_array(F.collect_set("fold")), F.array(F.lit(-1).cast(cells.schema["fold"].dataType))).alias("folds"))  # one row, a number a fold
     total = cells.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
     spread = total.join(folds).withColumn("held", F.explode("folds"))

@@ -10,7 +10,7 @@ from susceptra.ml.crossval import Inputs, Options
 from susceptra.plans import bridge as B
 from susceptra.plans.bridge import table
 from susceptra.plans.catalogue import query, r6, sql6
-from susceptra.storage import dealt
+from susceptra.storage import dealt, materialise
 
 DRUGS = ("A", "N", "R")
 FOLDS = 5
@@ -19,8 +19,10 @@ FOLDS = 5
 def inputs(spark, d) -> Inputs:
     """Customers as genomes, their parts' names as known columns and brands with sizes as wide ones; labels follow the names, with noise."""
     genomes = table(spark, d, "customer").select(F.col("c_custkey").alias("genome"), F.col("c_mktsegment").alias("species"), (F.col("c_custkey") % FOLDS).cast("int").alias("fold"))
-    hits = dealt(B.hits(spark, d), table(spark, d, "lineitem").count(), "genome_id")
+    lines = table(spark, d, "lineitem").count()
+    hits = dealt(B.hits(spark, d), lines, "genome_id")
     known = hits.groupBy(F.col("genome_id").alias("genome"), F.concat(F.lit("gene_"), "symbol").alias("column")).agg(F.count(F.lit(1)).alias("n"))
+    known = dealt(materialise(known, "known"), lines, "genome")  # labels follow from it too
     wide = hits.select(F.col("genome_id").alias("genome"), F.concat_ws("/", "brand", F.col("size").cast("string")).alias("column")).distinct()
     number = lambda *x: F.conv(F.substring(F.md5(F.concat_ws("/", *x)), 1, 4), 16, 10).cast("long")
     drug = F.explode(F.array(*map(F.lit, DRUGS))).alias("drug")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from susceptra.functions import normal
 from susceptra.ml import calibration, crossval, linear
-from susceptra.plans import fitting
+from susceptra.plans import catalogue, fitting
 
 
 def loss(w, rows, decay):
@@ -174,3 +174,26 @@ def test_refit_scores_each_fold_by_the_others(spark):
     assert all(abs(got[i][0] - want[i][0]) < 1e-9 and got[i][1] == want[i][1] for i in want)
     report = calibration.calls_report(df.filter("pair = 'a'").withColumn("call", F.lit("likely_active")), ["pair"], "resistant").first()
     assert report.vme_rate == 1 and report.me_rate == 0 and report.committed_share == 1 and abs(report.correct_when_committed - report.n_lab_s / report.n) < 1e-12
+
+
+@pytest.mark.parametrize("name", ["known_columns_by_fold", "correlated_columns_by_fold"])
+def test_sums_by_fold_are_made_once(spark, sf_dir, name):
+    """Totals and what each fold takes off are read from the written sums, not summed from the lines again."""
+    plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
+
+
+def test_long_relations_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    genomes = spark.createDataFrame([(g, "s", g % 2) for g in range(40)], "genome long, species string, fold int")
+    labels = spark.createDataFrame([(g, "A", float(g % 3), float(g % 3) + 1) for g in range(40)], "genome long, drug string, lower double, upper double")
+    known = spark.createDataFrame([(g, "gene", 1) for g in range(40)], "genome long, column string, n long")
+    wide = spark.createDataFrame([(g, f"w{g % 3}") for g in range(40)], "genome long, column string").mapInPandas(counted, "genome long, column string")
+    found = crossval.cross_validate(crossval.Inputs(genomes, labels, known, wide), crossval.Options(known_min_count=1, rounds=2, patience=None))
+    assert made.value == 40 and found.examples.count() == 40
