@@ -77,13 +77,13 @@ def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 def batch_sums(b: pa.RecordBatch, points: list[np.ndarray], held: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each model: its gradient (drugs x columns, intercept, log sigma) over rows it may see, and (loss, rows) by drug, seen and held out."""
     drug, fold, lower, upper, row, index, value = _entries(b)
-    out = []
+    out, columns = [], points[0].shape[1] - 2
+    cell = (drug[row] * (columns + 2) + index).astype(np.int64)  # where an entry's weight lies, in every model
     for w, h in zip(points, held, strict=True):
-        columns = w.shape[1] - 2
-        mu = w[drug, columns] + np.bincount(row, weights=w[drug[row], index] * value, minlength=len(drug))
+        mu = w[drug, columns] + np.bincount(row, weights=w.ravel()[cell] * value, minlength=len(drug))
         nll, by_mu, by_sigma = interval_nll(mu, w[drug, columns + 1], lower, upper)
         seen = np.ones(len(drug), bool) if h is None else fold != h
-        g = np.bincount(drug[row] * (columns + 2) + index, weights=(by_mu * seen)[row] * value, minlength=w.size).reshape(w.shape)
+        g = np.bincount(cell, weights=(by_mu * seen)[row] * value, minlength=w.size).reshape(w.shape)
         g[:, columns] += np.bincount(drug, weights=by_mu * seen, minlength=len(w))
         g[:, columns + 1] += np.bincount(drug, weights=by_sigma * seen, minlength=len(w))
         totals = np.stack([np.bincount(drug, weights=x, minlength=len(w)) for x in (nll * seen, 1.0 * seen, nll * ~seen, 1.0 * ~seen)], 1)

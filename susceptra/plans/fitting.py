@@ -16,13 +16,17 @@ DRUGS = ("A", "N", "R")
 FOLDS = 5
 
 
-def inputs(spark, d) -> Inputs:
-    """Customers as genomes, their parts' names as known columns and brands with sizes as wide ones; labels follow the names, with noise."""
+def inputs(spark, d, reused: bool = False) -> Inputs:
+    """Customers as genomes, their parts' names as known columns and brands with sizes as wide ones; labels follow the names, with noise.
+
+    Where known columns and labels are both read, or labels twice, `reused` writes what both follow from.
+    """
     genomes = table(spark, d, "customer").select(F.col("c_custkey").alias("genome"), F.col("c_mktsegment").alias("species"), (F.col("c_custkey") % FOLDS).cast("int").alias("fold"))
     lines = table(spark, d, "lineitem").count()
     hits = dealt(B.hits(spark, d), lines, "genome_id")
     known = hits.groupBy(F.col("genome_id").alias("genome"), F.concat(F.lit("gene_"), "symbol").alias("column")).agg(F.count(F.lit(1)).alias("n"))
-    known = dealt(materialise(known, "known"), lines, "genome")  # labels follow from it too
+    if reused:
+        known = dealt(materialise(known, "known"), lines, "genome")
     wide = hits.select(F.col("genome_id").alias("genome"), F.concat_ws("/", "brand", F.col("size").cast("string")).alias("column")).distinct()
     number = lambda *x: F.conv(F.substring(F.md5(F.concat_ws("/", *x)), 1, 4), 16, 10).cast("long")
     drug = F.explode(F.array(*map(F.lit, DRUGS))).alias("drug")
@@ -63,7 +67,7 @@ ranked AS (SELECT held, species, col, coalesce(r, 0) AS r, row_number() OVER (PA
 SELECT held, species, col AS "column", {sql6('r')} AS correlation FROM ranked WHERE n <= 200""")
 def correlated_columns_by_fold(spark, d):
     """ML6, AG27: for each fold and species, of the columns within the frequency window the 200 that follow any drug most."""
-    data = inputs(spark, d)
+    data = inputs(spark, d, reused=True)
     found = selection.correlated_by_fold(data.wide, data.genomes, crossval.proxies(data.labels), most=200)
     return found.select(F.col("held").cast("int").alias("held"), "species", "column", r6(F.col("correlation")).alias("correlation"))
 
@@ -73,7 +77,7 @@ OPTIONS = Options(wide_most=50, rounds=25, patience=8)
 
 
 def _fitted(spark, d):
-    return crossval.cross_validate(inputs(spark, d), OPTIONS)
+    return crossval.cross_validate(inputs(spark, d, reused=True), OPTIONS)
 
 
 @query()
