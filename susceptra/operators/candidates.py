@@ -39,14 +39,15 @@ def band_join_on_circle(points: DataFrame, others: DataFrame, keys: list[str], a
     return spread.join(held, [*keys, "bin__"]).drop("bin__").filter(F.least(gap, F.col(size) - gap) <= F.col(within))
 
 
-def probe_placements(hits: DataFrame, references: DataFrame, queries: DataFrame, probes: int, width: int, missing_fraction: float = 0.35) -> DataFrame:
+def probe_placements(hits: DataFrame, references: DataFrame, queries: DataFrame, probes: int, width: int, missing_fraction: float = 0.35, decimals: int | None = 12) -> DataFrame:
     """ML13: one placement for each (query, donor), the best supported.
 
     hits (query, probe, ref, strand, qlen, qs, qe, ts, te, matches, block), references (ref, donor, n), all whole circles,
     queries (query, length). Of a probe's hits that cover half of it the best by identity times coverage counts (ties: the
     smallest start). First and last probe must be placed with little clipped; between them they must span the observed
     length, and what is left of the circle must be near what is missing. Ties of references go to the smallest, then to
-    strand +; scores are compared at twelve decimals, as the last digit of a mean is that of the order in which it was summed.
+    strand +. Scores are compared at so many decimals, as the last digit of a mean is that of the order in which it was
+    summed; with None as they are, summed in the order of probes, which is one that SQL may take.
     """
     size = F.col("qe") - F.col("qs")
     j = hits.join(references, "ref").withColumn("identity", F.col("matches") / F.greatest(F.lit(1), F.col("block"))).withColumn("coverage", size / F.col("qlen")).filter("coverage >= 0.5")
@@ -58,7 +59,9 @@ def probe_placements(hits: DataFrame, references: DataFrame, queries: DataFrame,
     keys = ["query", "ref", "donor", "n", "strand"]
     by_probe = j.groupBy(*keys, "probe").agg(F.max_by(hit, F.struct(F.col("identity") * F.col("coverage"), -start, -end)).alias("h"))
     at = lambda p: F.max(F.when(F.col("probe") == p, F.col("h")))
-    chains = by_probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("placed"), F.avg("h.identity").alias("mean_identity"), F.min("h.identity").alias("least_identity"), F.avg("h.coverage").alias("mean_coverage"), at(0).alias("a"), at(probes - 1).alias("b"))
+    in_order = F.array_sort(F.collect_list(F.struct("probe", "h.identity", "h.coverage")))  # one hit a probe
+    mean = lambda c: F.try_divide(F.aggregate(in_order, F.lit(0.0), lambda total, h: total + F.coalesce(h[c], F.lit(0.0))), F.count(f"h.{c}"))
+    chains = by_probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("placed"), mean("identity").alias("mean_identity"), F.min("h.identity").alias("least_identity"), mean("coverage").alias("mean_coverage"), at(0).alias("a"), at(probes - 1).alias("b"))
     both = W.partitionBy("query", "ref")  # two strands
     chains = chains.withColumn("strands", F.sum("placed").over(both)).join(queries, "query")
     n, length = F.col("n"), F.col("length")
@@ -71,7 +74,7 @@ def probe_placements(hits: DataFrame, references: DataFrame, queries: DataFrame,
         F.col("a.identity").alias("first_identity"), F.col("b.identity").alias("last_identity"), F.col("a.coverage").alias("first_coverage"), F.col("b.coverage").alias("last_coverage"), (F.col("placed") / F.col("strands")).alias("strand_share"),
         (span / length).alias("span_ratio"), (missing / expected).alias("missing_ratio"), F.log10("length").alias("log_length"), ((F.col("a.clip") + F.col("b.clip")) / (2 * width)).alias("clip_share"))
     found = found.withColumn("score", F.col("placed_share") * F.col("mean_identity") * F.col("mean_coverage"))
-    best = F.struct(F.round("score", 12), -F.col("ref"), F.when(F.col("strand") == "+", 1).otherwise(0))
+    best = F.struct("score" if decimals is None else F.round("score", decimals), -F.col("ref"), F.when(F.col("strand") == "+", 1).otherwise(0))
     return found.groupBy("query", "donor").agg(*[F.max_by(c, best).alias(c) for c in found.columns if c not in ("query", "donor")])
 
 

@@ -39,8 +39,9 @@ def probe_candidates(spark, d):
     size, back = F.col("qe") - F.col("qs"), F.col("strand") == "-"
     hits = r.select("query", "probe", "ref", "strand", F.lit(WIDTH).alias("qlen"), "qs", "qe", F.when(back, F.col("n") - F.col("f") - size).otherwise(F.col("f")).alias("ts"), F.when(back, F.col("n") - F.col("f")).otherwise(F.col("f") + size).alias("te"), (60 + F.col("q")).alias("matches"), F.lit(110).alias("block"))
     references = spark.range(4).select(F.col("id").alias("ref"), F.floor(F.col("id") / 2).alias("donor"), (1600 + 100 * F.col("id")).alias("n"))
-    queries = table(spark, d, "customer").select(F.col("c_custkey").alias("query"), F.lit(LENGTH).cast("long").alias("length"))
-    out = candidates.probe_placements(hits, references, queries, PROBES, WIDTH)
+    # as in the SQL, customers that orders name need not be in their own table
+    queries = table(spark, d, "orders").select(F.col("o_custkey").alias("query")).distinct().withColumn("length", F.lit(LENGTH).cast("long"))
+    out = candidates.probe_placements(hits, references, queries, PROBES, WIDTH, decimals=None)
     return out.select("query", "donor", "ref", "strand", "start", "end", "missing", *[r6(F.col(c) + 1e-9).alias(c) for c in ("score", "strand_share", "span_ratio", "missing_ratio", "clip_share", "least_identity")])
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from susceptra.operators import candidates
@@ -49,6 +50,30 @@ def test_equal_scores_go_to_the_smaller_reference(spark):
     assert [r.ref for r in got] == [0]
 
 
+def test_scores_compared_as_they_are_are_those_of_sums_by_probe(spark):
+    """Two probes have one sum in either order, so SQL that compares means takes the second reference, whose last digit is larger."""
+    matches = {0: (60, 62), 1: (61, 61)}
+    assert (60 / 110 + 62 / 110) / 2 < (61 / 110 + 61 / 110) / 2
+    rows = [(1, p, ref, "+", 100, 0, 100, 900 * p, 900 * p + 100, m, 110) for ref, ms in matches.items() for p, m in enumerate(ms)]
+    hits = spark.createDataFrame(rows, "query int, probe int, ref int, strand string, qlen int, qs int, qe int, ts int, te int, matches int, block int")
+    references = spark.createDataFrame([(r, "d", 1500) for r in matches], "ref int, donor string, n int")
+    queries = spark.createDataFrame([(1, 1000)], "query int, length int")
+    chosen = {d: [r.ref for r in candidates.probe_placements(hits, references, queries, 2, 100, decimals=d).collect()] for d in (None, 12)}
+    assert chosen == {None: [1], 12: [0]}
+
+
+def test_customers_that_only_orders_name_are_placed(spark, tmp_path, sf_dir):
+    """As in the SQL, which reads no customers."""
+    for name in ("orders", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 2 = 0").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.queries()["probe_candidates"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(con.execute(catalogue.oracle_sql()["probe_candidates"]).fetchall())
+
+
 @pytest.mark.parametrize("most", [0, 6])
 def test_packed_groups_are_anchored_as_rows_are(spark, monkeypatch, most):
     """Groups of up to PACKED hits are arrays, larger ones rows; what is found must not depend on which."""
