@@ -92,8 +92,9 @@ def stream_session(spark, d):
     """2.12 session schedule, DQ10, ML12: three drops in micro-batches of half a drop's files; the stream is ended and started again before the third."""
     root, files = place(spark), file_count(spark)
     docs = materialise(table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", dna(F.col("text")).alias("dna")), "dna")
-    # sequences are dealt out before they become steps, which are many times as long: a file has all steps of its documents
-    steps = session_steps(docs.repartition(files, "doc_id"))
+    # sequences are dealt out before they become steps, which are many times as long: a file has all steps of its groups of
+    # sessions, so that a micro-batch of half the files meets half the groups
+    steps = session_steps(docs.repartition(files, sessions.group_of(F.col("doc_id").cast("string"))))
     send = lambda part: steps.filter(part).write.mode("append").parquet(f"{root}/in")
     run = lambda: take_available(sessions.answered(file_stream(spark, f"{root}/in", sessions.STEPS, files // 2)), f"{root}/checkpoint", f"{root}/out")
     send("seq < 6")

@@ -8,7 +8,7 @@ import pytest
 from susceptra.operators.relational import resolve_duplicates
 from susceptra.sources import sinks
 from susceptra.streaming import jobs, merging, sessions
-from susceptra.streaming.runs import file_stream, take_available
+from susceptra.streaming.runs import file_stream, state_in_rocksdb, take_available
 
 
 def packed_sketch(seq, k=19, bits=11):
@@ -111,6 +111,42 @@ def test_idle_sessions_are_given_up(spark, tmp_path):
     assert [r.reason for r in got if r.session == "a" and r.percent == 30] == ["session_starts_elsewhere"]
 
 
+def test_sessions_share_values_of_the_state(spark, tmp_path, monkeypatch):
+    """Twelve sessions in three groups: as many values in the state as groups, and answers as if each were alone."""
+    monkeypatch.setattr(sessions, "GROUPS", 3)
+    rows, place = made_sessions(12), f"file://{tmp_path}"
+    for half in (0, 1):
+        part = [r for r in rows if (r[1] >= 7) == half]
+        spark.createDataFrame(part, sessions.STEPS).repartition(2, "session").write.mode("append").parquet(f"{place}/in")
+        take_available(sessions.answered(file_stream(spark, f"{place}/in", sessions.STEPS, 2)), f"{place}/checkpoint", f"{place}/out")
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{place}/out").collect())
+    assert got == sorted(x for i in range(12) for x in replay([r for r in rows if r[0] == f"s{i}"]))
+    with state_in_rocksdb(spark):
+        assert 1 <= spark.read.format("statestore").option("stateVarName", "group").load(f"{place}/checkpoint").count() <= 3
+
+
+def test_idle_sessions_of_one_group_are_given_up_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sessions, "GROUPS", 1)
+    place = f"file://{tmp_path}"
+    for name, percent in (("a", 20), ("b", 20), ("b", 30), ("a", 30)):
+        spark.createDataFrame([(name, 1, "x", percent, None, "A" * percent, None)], sessions.STEPS).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        take_available(sessions.answered(file_stream(spark, f"{place}/in", sessions.STEPS), idle_ms=1), f"{place}/checkpoint", f"{place}/out")
+    got = spark.read.parquet(f"{place}/out").collect()
+    # a is given up while b goes on, and b after its next step
+    assert sorted((r.session, r.percent) for r in got if r.reason == "session_given_up") == [("a", 20), ("b", 30)]
+    assert [r.reason for r in got if r.session == "a" and r.percent == 30] == ["session_starts_elsewhere"]
+
+
+def test_sketches_of_many_texts_are_those_of_each():
+    from susceptra.operators.sketch import kmer_hashes, kmer_sets
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ACGTN\u00e9", (9, 9, 9, 9, 1, 1), k=rng.choice((0, 3, 18, 19, 20, 500, 40_000)))) for _ in range(60)]
+    for k, bits in ((19, 2), (5, 0)):
+        assert kmer_sets(texts, k, bits) == [set(kmer_hashes(t, k, bits).tolist()) for t in texts]
+    assert kmer_sets([]) == []
+
+
 READINGS = "genome_id string, drug string, at long, lower double, upper double, sir string, raw string, retracted boolean"
 
 
