@@ -95,7 +95,8 @@ def stream_session(spark, d):
     # sequences are dealt out before they become steps, which are many times as long: a file has all steps of its groups of
     # sessions, so that a micro-batch of half the files meets half the groups
     steps = session_steps(docs.repartition(files, sessions.group_of(F.col("doc_id").cast("string"))))
-    send = lambda part: steps.filter(part).write.mode("append").parquet(f"{root}/in")
+    # a session's steps repeat each other, farther apart than snappy looks back
+    send = lambda part: steps.filter(part).write.mode("append").option("compression", "zstd").parquet(f"{root}/in")
     run = lambda: take_available(sessions.answered(file_stream(spark, f"{root}/in", sessions.STEPS, files // 2)), f"{root}/checkpoint", f"{root}/out")
     send("seq < 6")
     send("seq BETWEEN 6 AND 11")
